@@ -20,7 +20,7 @@ FOUND_SQL = """
 WITH f AS (SELECT id, min(indexed_at) AS arrival, max(struct_pack(t := indexed_at, s := lower(trim(status)))).s AS state
            FROM files WHERE id IS NOT NULL GROUP BY id),
      k AS (SELECT id, min(indexed_at) AS arrival FROM chunks WHERE id IS NOT NULL GROUP BY id),
-     r AS (SELECT 'chunks' AS ref_table, c.id AS row_id, c.indexed_at AS at,
+     r AS (SELECT 'chunks' AS ref_table, c.id AS row_id, c.indexed_at AS happened,
                   CASE WHEN f.id IS NULL THEN 'missing' WHEN f.state = 'orphaned' THEN 'deleted'
                        WHEN f.arrival > c.indexed_at THEN 'late' END AS reason
            FROM chunks c LEFT JOIN f ON c.file_id = f.id WHERE c.file_id IS NOT NULL
@@ -28,7 +28,7 @@ WITH f AS (SELECT id, min(indexed_at) AS arrival, max(struct_pack(t := indexed_a
            SELECT 'vec_chunks', v.chunk_id, v.embedded_at,
                   CASE WHEN k.id IS NULL THEN 'missing' WHEN k.arrival > v.embedded_at THEN 'late' END
            FROM vec_chunks v LEFT JOIN k ON v.chunk_id = k.id WHERE v.chunk_id IS NOT NULL)
-SELECT DISTINCT ref_table, row_id, reason, strftime(at, '%Y-%m') AS period FROM r WHERE reason IS NOT NULL
+SELECT DISTINCT ref_table, row_id, reason, strftime(happened, '%Y-%m') AS period FROM r WHERE reason IS NOT NULL
 """
 
 QUERIES = {"p5_found": p5_found, "p5_report": p5_report}
