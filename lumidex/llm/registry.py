@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumidex.llm.leakage import leaked_items
 from lumidex.llm.near_duplicates import similar_pairs
 from lumidex.session import table
 
@@ -14,5 +15,9 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
 
 
-QUERIES = {"p6_found": p6_found}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
+
+
+QUERIES = {"p6_found": p6_found, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}
