@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 
 from lumidex.llm.leakage import leaked_items
 from lumidex.llm.near_duplicates import similar_pairs
+from lumidex.llm.similar_vectors import similar_vector_pairs
 from lumidex.session import table
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = similar_vector_pairs(table(spark, folder, "vec_chunks"), "chunk_id", "embedding", k=10, dim=384)
+    return pairs.select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = similar_pairs(table(spark, folder, "chunks"), "id", "text", threshold=0.5, width=3)
     return pairs.select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
@@ -19,5 +25,5 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {"p6_found": p6_found, "p8_found": p8_found}
+QUERIES = {"p2_found": p2_found, "p6_found": p6_found, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}
