@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumidex.llm.leakage import leaked_items
 from lumidex.llm.near_duplicates import similar_pairs
+from lumidex.llm.packing import pack_documents, packing_report
 from lumidex.llm.sentences import split_sentences
 from lumidex.llm.similar_vectors import similar_vector_pairs
 from lumidex.session import table
@@ -26,10 +27,19 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
 
 
+def p7_inputs(spark: SparkSession, folder: str) -> DataFrame:
+    packed = pack_documents(table(spark, folder, "documents"), "doc_id", "text")
+    return packed.withColumnRenamed("id", "doc_id").withColumnRenamed("bin", "input_id")
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    return packing_report(pack_documents(table(spark, folder, "documents"), "doc_id", "text"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     found = split_sentences(table(spark, folder, "documents"), "doc_id", "text")
     return found.select(F.col("id").alias("doc_id"), F.col("start").alias("sent_start"), F.col("end").alias("sent_end"))
 
 
-QUERIES = {"p9_found": p9_found, "p2_found": p2_found, "p6_found": p6_found, "p8_found": p8_found}
+QUERIES = {"p7_inputs": p7_inputs, "p7_report": p7_report, "p9_found": p9_found, "p2_found": p2_found, "p6_found": p6_found, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}
