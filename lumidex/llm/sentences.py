@@ -43,6 +43,9 @@ NUMBERED = (
     "ص رقم "
     "सं पृ"
 ).split()
+# German words before, or months behind, an ordinal's dot.
+ORDINAL_BEFORE = "dem den der die das des am vom zum bis ab im"
+ORDINAL_BEHIND = "Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember"
 CLOSING = r"[\"”“’'»)\]]"
 GO_ON = r"(?:\p{Ll}|[–—])"
 
@@ -75,6 +78,7 @@ def _mark(rows: DataFrame, column: str) -> DataFrame:
     step(rf"\.(?=\s)(?<={BEFORE}(?:{_any(ALWAYS)})\.)", DOT)
     step(rf"\.(?=\s+\p{{Lu}})(?<={BEFORE}(?:\p{{Lu}}|\p{{Lu}}{DOT}\p{{Lu}})\.)|\.(?=\s\p{{L}}[.{DOT}])(?<={BEFORE}\p{{L}}\.)", DOT)
     step(rf"\.(?=\s*[\p{{N}}№])(?<={BEFORE}(?:{_any(NUMBERED)})\.)", DOT)
+    step(rf"(?<=\p{{Nd}})\.(?:(?=\s(?:{_any(ORDINAL_BEHIND.split())})\b)|(?=\s\p{{Lu}})(?<={BEFORE}(?:{_any(ORDINAL_BEFORE.split())})\s\p{{Nd}}{{1,2}}\.))", DOT)
     # Terminators with white space behind them, unless what follows shows that the sentence goes on; those of scripts without spaces at once.
     step(rf"([.!?…؟۔।॥]+(?:\s?»|{CLOSING})*+)(?=\s+(?!{GO_ON})\S)", "$1" + BREAK)
     step(r"([。！？]++(?:[」』”’）】》]++(?!\p{L}))?+)(?![」』”’）】》])", "$1" + BREAK, "[。！？]")
