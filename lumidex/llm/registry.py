@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumidex.llm.encoding import restore_texts
 from lumidex.llm.leakage import leaked_items
 from lumidex.llm.near_duplicates import similar_pairs
 from lumidex.llm.packing import pack_documents, packing_report
@@ -18,6 +19,14 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return restore_texts(table(spark, folder, "chunks"), "id", "text").select(F.col("id").alias("chunk_id")).distinct()
+
+
+def p4_restored(spark: SparkSession, folder: str) -> DataFrame:
+    return restore_texts(table(spark, folder, "chunks"), "id", "text").withColumnRenamed("id", "chunk_id")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = similar_pairs(table(spark, folder, "chunks"), "id", "text", threshold=0.5, width=3)
     return pairs.select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
@@ -41,5 +50,5 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("start").alias("sent_start"), F.col("end").alias("sent_end"))
 
 
-QUERIES = {"p7_inputs": p7_inputs, "p7_report": p7_report, "p9_found": p9_found, "p2_found": p2_found, "p6_found": p6_found, "p8_found": p8_found}
+QUERIES = {"p4_found": p4_found, "p4_restored": p4_restored, "p7_inputs": p7_inputs, "p7_report": p7_report, "p9_found": p9_found, "p2_found": p2_found, "p6_found": p6_found, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}
