@@ -11,9 +11,27 @@ from lumidex.llm.near_duplicates import similar_pairs
 from lumidex.llm.packing import pack_documents, packing_report
 from lumidex.llm.sentences import split_sentences
 from lumidex.llm.similar_vectors import similar_vector_pairs
+from lumidex.llm.text_quality import not_prose, text_kind, text_statistics
 from lumidex.session import table
 
 
+def _common_words(spark: SparkSession, folder: str) -> list[str]:
+    """The fixed list of frequent words, which becomes part of the expressions; a list beyond its bound is an error, not cut."""
+    words = [r.word for r in table(spark, folder, "common_words").select("word").where("word is not null").distinct().limit(MOST_COMMON_WORDS + 1).collect()]
+    if len(words) > MOST_COMMON_WORDS:
+        raise ValueError(f"more than {MOST_COMMON_WORDS} common words")
+    return sorted(words)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return not_prose(table(spark, folder, "chunks"), "id", "text", _common_words(spark, folder)).withColumnRenamed("id", "chunk_id")
+
+
+def p1_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    statistics = text_statistics(table(spark, folder, "chunks"), "id", "text", _common_words(spark, folder))
+    return statistics.withColumn("kind", text_kind()).withColumnRenamed("id", "chunk_id")
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = similar_vector_pairs(table(spark, folder, "vec_chunks"), "chunk_id", "embedding", k=10, dim=384)
     return pairs.select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
@@ -50,5 +68,6 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("start").alias("sent_start"), F.col("end").alias("sent_end"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_restored": p4_restored, "p7_inputs": p7_inputs, "p7_report": p7_report, "p9_found": p9_found, "p2_found": p2_found, "p6_found": p6_found, "p8_found": p8_found}
+MOST_COMMON_WORDS = 2000
+QUERIES = {"p1_found": p1_found, "p1_statistics": p1_statistics, "p4_found": p4_found, "p4_restored": p4_restored, "p7_inputs": p7_inputs, "p7_report": p7_report, "p9_found": p9_found, "p2_found": p2_found, "p6_found": p6_found, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}
