@@ -9,6 +9,7 @@ from lumidex.llm.encoding import restore_texts
 from lumidex.llm.leakage import leaked_items
 from lumidex.llm.near_duplicates import similar_pairs
 from lumidex.llm.packing import pack_documents, packing_report
+from lumidex.llm.scanned_text import find_noise, repair
 from lumidex.llm.sentences import split_sentences
 from lumidex.llm.similar_vectors import similar_vector_pairs
 from lumidex.llm.text_quality import not_prose, text_kind, text_statistics
@@ -37,6 +38,14 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return find_noise(table(spark, folder, "chunks"), "id", "text").withColumnRenamed("id", "chunk_id")
+
+
+def p3_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    return repair(table(spark, folder, "chunks"), "id", "text").withColumnRenamed("id", "chunk_id")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return restore_texts(table(spark, folder, "chunks"), "id", "text").select(F.col("id").alias("chunk_id")).distinct()
 
@@ -69,5 +78,5 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 MOST_COMMON_WORDS = 2000
-QUERIES = {"p1_found": p1_found, "p1_statistics": p1_statistics, "p4_found": p4_found, "p4_restored": p4_restored, "p7_inputs": p7_inputs, "p7_report": p7_report, "p9_found": p9_found, "p2_found": p2_found, "p6_found": p6_found, "p8_found": p8_found}
+QUERIES = {"p3_found": p3_found, "p3_repaired": p3_repaired, "p1_found": p1_found, "p1_statistics": p1_statistics, "p4_found": p4_found, "p4_restored": p4_restored, "p7_inputs": p7_inputs, "p7_report": p7_report, "p9_found": p9_found, "p2_found": p2_found, "p6_found": p6_found, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}
