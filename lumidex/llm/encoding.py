@@ -30,7 +30,7 @@ MOST_STATES = 600  # of one search
 # Letters beyond ASCII of French, German, Spanish, Portuguese, Italian, Polish and Turkish.
 USUAL = set("àâæçéèêëîïôœùûüäößáíóúñãõìòąćęłńśźżğış")
 PRINTED = set("–—‘’‚“”„…«»¿¡°ºª№•§€‐‑·")
-COST = {"a": 0.0, "e": 0.4, "E": 0.6, "r": 2.0, "R": 2.2, "c": 0.3, "C": 0.4, "y": 1.2, "g": 0.3, "G": 0.4, "b": 0.4, "d": 0.4, "t": 0.4, "k": 0.4, "h": 0.3, "H": 1.0, "p": 0.5, "s": 1.3, "B": 2.0, "u": 3.0, "f": 3.0, "n": 1.0, "w": 1.2, " ": 0.0, ".": 0.0}
+COST = {"a": 0.0, "e": 0.4, "E": 0.6, "r": 2.0, "R": 2.2, "c": 0.3, "C": 0.4, "y": 1.2, "g": 0.3, "G": 0.4, "b": 0.4, "d": 0.4, "t": 0.4, "k": 0.4, "h": 0.3, "H": 1.0, "p": 0.5, "s": 1.3, "B": 2.0, "X": 2.0, "u": 3.0, "f": 3.0, "n": 1.0, "w": 1.2, " ": 0.0, ".": 0.0}
 LATIN, OTHER = "aeErR", "cCygGbdtkhH"
 FAMILY = {**dict.fromkeys("aeErR", "L"), **dict.fromkeys("cCy", "C"), **dict.fromkeys("gG", "G"), "b": "A", "d": "D", "t": "T", "k": "K", "h": "H", "H": "H"}
 
@@ -52,6 +52,9 @@ WITHIN = re.compile(r"(?<=[A-Za-zÀ-ÿ])[‚„…“”«»¿¡•§€º](?=[A
 APART = re.compile(r"(?<=[\u3400-\u9fff]) (?=[\u3400-\u9fff])")
 
 
+ESCAPE = re.compile(r"&#?\w{2,8};|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}")
+
+
 @lru_cache(maxsize=None)
 def kind(ch: str) -> str:
     """The class of a character."""
@@ -83,7 +86,7 @@ def kind(ch: str) -> str:
         return "r" if ch.islower() else "R"
     if 0xE000 <= o <= 0xF8FF:
         return "u"
-    return "B" if o > 0x2100 else "s"
+    return "X" if 0x2500 <= o <= 0x259F else "B" if o > 0x2100 else "s"
 
 
 @lru_cache(maxsize=None)
@@ -101,14 +104,14 @@ def _together(a: str, b: str) -> float:
         if (a, b) in (("c", "C"), ("g", "G")) or (a in "er" and b in "ER"):
             extra += 1.2
         return extra
-    if (a in "sBu" and fb) or (b in "sBu" and fa) or (a in "sB" and b in "sB"):
+    if (a in "sBXu" and fb) or (b in "sBXu" and fa) or (a in "sBX" and b in "sBX"):
         return 0.8
     return 0.0
 
 
 @lru_cache(maxsize=200_000)
 def cost(text: str) -> float:
-    """How implausible a text is; nothing for ASCII."""
+    """How implausible a text is; nothing for ASCII but escapes."""
     total, before, last = 0.0, " ", ""
     for ch in text:
         k = kind(ch)
@@ -116,7 +119,7 @@ def cost(text: str) -> float:
         if k == "a" and last.islower() and ch.isupper() and before != "a":
             total += 0.6
         before, last = k, ch
-    return total + 1.5 * len(WITHIN.findall(text)) + 1.5 * len(APART.findall(text))
+    return total + 1.5 * len(WITHIN.findall(text)) + 1.5 * len(APART.findall(text)) + 2.0 * len(ESCAPE.findall(text))
 
 
 def _tables(name: str) -> dict[int, int] | None:
@@ -232,7 +235,7 @@ def repaired_word(word: str) -> str | None:
 
 
 BEYOND = re.compile(r"[^\x00-\x7f]")
-ODD = re.compile("[rRsBufnywH]")
+ODD = re.compile("[rRsBXufnywH]")
 
 
 @lru_cache(maxsize=200_000)
@@ -244,7 +247,7 @@ def odd(token: str) -> bool:
         return False
     if ODD.search(kinds) or WITHIN.search(token):
         return True
-    return any(_together(a, b) > 0.5 for a, b in zip(kinds, kinds[1:])) or bool(re.search(r"&#?\w{2,8};|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}", token))
+    return any(_together(a, b) > 0.5 for a, b in zip(kinds, kinds[1:])) or bool(ESCAPE.search(token))
 
 
 def restore(text: str) -> tuple[str, int]:
@@ -260,6 +263,10 @@ def restore(text: str) -> tuple[str, int]:
         if one is not None:
             tokens[i] = one
             found += 1
+    if found:  # beside garbled words, short ones that would pass for plain text are tried too
+        for i in set(range(0, len(tokens), 2)) - set(marks):
+            if BEYOND.search(tokens[i]) and (one := repaired_word(tokens[i])) is not None:
+                tokens[i] = one
     at = 0
     while at < len(left):
         # A passage: odd words with at most eight others between them.

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lumidex.functions.text import not_blank
 
-DOT, BREAK, UNIT = "", "", ""  # a masked dot; the end of a sentence; of a paragraph, heading or list item
+DOT, BREAK, UNIT = "\ue000", "\ue001", "\ue002"  # a masked dot; the end of a sentence; of a paragraph, heading or list item
 BEFORE = r"(?<![\p{L}\p{M}\p{N}])"
 
 # Abbreviations after which a sentence goes on whatever follows (titles, streets, examples).
