@@ -73,7 +73,8 @@ def _folds() -> tuple[str, str]:
 
 
 FOLD_FROM, FOLD_TO = _folds()
-TOKEN = r"[\p{L}\p{M}\p{N}]+"
+TOKEN_CHAR = r"[\p{L}\p{M}\p{N}]"
+TOKEN = TOKEN_CHAR + "+"
 
 
 def fts_tokens(text: Column) -> Column:

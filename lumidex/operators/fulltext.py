@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumidex.config import KEYWORD_HIGH, KEYWORD_LOW, KEYWORD_STEP, SNIPPET
-from lumidex.functions.text import FOLD_FROM, FOLD_TO, TOKEN, fts_tokens, fts_tokens_of, query_words_of
+from lumidex.functions.text import FOLD_FROM, FOLD_TO, TOKEN, TOKEN_CHAR, fts_tokens, fts_tokens_of, query_words_of
+from lumidex.session import cut_lineage
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -53,16 +54,15 @@ def bm25(chunks: DataFrame, query: str, id_col: str = "id", text_col: str = "tex
     phrases = query_phrases(query)
     if not phrases:
         return chunks.sparkSession.createDataFrame([], "chunk_id bigint, rank double")
-    spaced = F.concat(F.lit(" "), F.array_join("tokens", "  "), F.lit(" "))
-    rows = tokenised(chunks, id_col, text_col).select("chunk_id", F.size("tokens").cast("double").alias("len"), spaced.alias("_t"))
+    folded = F.translate(F.lower(F.col(text_col)), FOLD_FROM, FOLD_TO)
+    rows = chunks.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("chunk_id"), folded.alias("_t"))
+    gap = rf"(?:(?!{TOKEN_CHAR})[\s\S])+"
     counts = {}
     for i, phrase in enumerate(phrases):
-        if len(phrase) == 1:
-            seek = f" {phrase[0]} "
-            counts[f"tf{i}"] = ((F.length("_t") - F.length(F.replace("_t", F.lit(seek), F.lit("")))) / len(seek)).cast("double")
-        else:
-            counts[f"tf{i}"] = F.regexp_count("_t", F.lit(f"(?= {'  '.join(phrase)} )")).cast("double")
-    rows = rows.select("chunk_id", "len", *[c.alias(k) for k, c in counts.items()])
+        seek = rf"(?<!{TOKEN_CHAR})(?={gap.join(phrase)}(?!{TOKEN_CHAR}))"
+        counts[f"tf{i}"] = F.when(F.col("_t").contains(phrase[0]), F.regexp_count("_t", F.lit(seek)).cast("double")).otherwise(0.0)
+    # Narrow rows, of which both the statistics and the hits are taken.
+    rows = cut_lineage(rows.select("chunk_id", F.regexp_count("_t", F.lit(TOKEN)).cast("double").alias("len"), *[c.alias(k) for k, c in counts.items()]))
     totals = [F.sum(F.when(F.col(k) > 0, 1.0).otherwise(0.0)).alias(f"df_{k}") for k in counts]
     stats = rows.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avg"), *totals)
     joined = rows.where(" OR ".join(f"{k} > 0" for k in counts)).crossJoin(F.broadcast(stats))  # one row

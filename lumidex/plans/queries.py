@@ -13,7 +13,7 @@ from lumidex.operators.chunking import chunk
 from lumidex.operators.embedding import embed_column
 from lumidex.operators.filename import all_words_matches, any_word_matches, substring_matches
 from lumidex.plans.hybrid import filename_tiers, hybrid_search
-from lumidex.session import table
+from lumidex.session import spread_out, table
 from lumidex.sources.files import is_excluded, is_supported
 from lumidex.streaming import events as ev
 
@@ -30,6 +30,10 @@ def chunks(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "chunks").select("id", "file_id", "chunk_index", "text").distinct()
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread_out(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "vec_chunks").where(F.col("chunk_id").isNotNull() & usable(F.col("embedding"), 384))
     return rows.groupBy("chunk_id").agg(F.min("embedding").alias("embedding"))
@@ -154,9 +158,9 @@ def _events(s, d):
 
 QUERIES = {
     "scan_supported_files": _scan,
-    "content_hash": lambda s, d: table(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash")),
-    "chunk_words": lambda s, d: chunk(table(s, d, "documents"), "doc_id", "text", 100, 20),
-    "chunk_counts": lambda s, d: chunk(table(s, d, "documents"), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n_chunks")),
+    "content_hash": lambda s, d: documents(s, d).select("doc_id", F.sha2("text", 256).alias("hash")),
+    "chunk_words": lambda s, d: chunk(documents(s, d), "doc_id", "text", 100, 20),
+    "chunk_counts": lambda s, d: chunk(documents(s, d), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n_chunks")),
     "first_chunk_left_join": lambda s, d: (
         files(s, d).select("id", "path").join(chunks(s, d).where("chunk_index = 0").select(F.col("file_id").alias("id"), F.col("id").alias("chunk_id")), "id", "left")
     ),
@@ -169,8 +173,8 @@ QUERIES = {
     "filename_all_words": lambda s, d: all_words_matches(files(s, d), NAME_QUERY, 10),
     "filename_any_word": lambda s, d: any_word_matches(files(s, d), NAME_QUERY, 10),
     "filename_waterfall": lambda s, d: filename_tiers(files(s, d), NAME_QUERY, 12).select("tier", "pos", "path", "score"),
-    "clean_query": lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(query_words(F.col("text")), " ").alias("words")),
-    "clean_query_fallback": lambda s, d: table(s, d, "documents").select("doc_id", clean_query(F.col("text")).alias("cleaned")),
+    "clean_query": lambda s, d: documents(s, d).select("doc_id", F.array_join(query_words(F.col("text")), " ").alias("words")),
+    "clean_query_fallback": lambda s, d: documents(s, d).select("doc_id", clean_query(F.col("text")).alias("cleaned")),
     "fts_term_statistics": lambda s, d: fulltext.term_statistics(chunks(s, d)),
     "fts_corpus_statistics": lambda s, d: fulltext.corpus_statistics(chunks(s, d)).withColumn("mean_length", F.round("mean_length", 6)),
     "bm25_topk": lambda s, d: _bm25_rows(s, d).orderBy("rank", "chunk_id").limit(50),
@@ -198,7 +202,7 @@ QUERIES = {
     "events_modified": lambda s, d: ev.changed_modifications(_events(s, d)),
     "events_debounced": lambda s, d: ev.debounce(_events(s, d).where("src_path is not null").select("event_id", "src_path", "event_at").distinct(), "src_path", "event_at", "event_id", "6 HOURS").select("event_id", "src_path"),
     "events_latest": lambda s, d: ev.latest_generation(_events(s, d).where("src_path is not null"), "src_path", "event_at", "event_id").select("src_path", "event_id"),
-    "embed_documents": lambda s, d: embed_column(chunk(table(s, d, "documents"), "doc_id", "text"), "text").select("doc_id", "chunk_index", "embedding"),
+    "embed_documents": lambda s, d: embed_column(chunk(documents(s, d), "doc_id", "text"), "text").select("doc_id", "chunk_index", "embedding"),
 }
 
 EFFECTS = f"""e AS (SELECT lower(trim(kind)) AS kind, src_path, dest_path, event_at, event_id FROM fs_events WHERE NOT coalesce(is_directory, false) AND src_path IS NOT NULL),

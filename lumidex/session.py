@@ -46,3 +46,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread_out(rows: DataFrame) -> DataFrame:
+    """rows over all cores where the scan has fewer than half as many parts (one small file); larger inputs stay as they are read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() * 2 < cores else rows
