@@ -161,6 +161,13 @@ def test_noise_of_scans(spark):
     assert {r.word: r.form for r in misread_words(counts).collect()}["exp1ained"] == "explained"
 
 
+def test_forms_are_chosen_by_context(spark):
+    base = [(i, "we open the file today and lay one tile there") for i in range(60)] + [(60 + i, "open the file today") for i in range(20)]
+    df = spark.createDataFrame(base + [(200, "lay one fi1e there"), (201, "open the fi1e today")], "id long, text string")
+    got = {r.id: r.text for r in repair(df, "id", "text").collect()}
+    assert got == {200: "lay one tile there", 201: "open the file today"}
+
+
 def test_scans_are_repaired(spark):
     got = {r.id: r.text for r in repair(corpus(spark), "id", "text").collect()}
     assert set(got) == {1, 4}
