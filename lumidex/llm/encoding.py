@@ -29,6 +29,7 @@ MOST_STATES = 600  # of one search
 
 # Letters beyond ASCII of French, German, Spanish, Portuguese, Italian, Polish and Turkish.
 USUAL = set("àâæçéèêëîïôœùûüäößáíóúñãõìòąćęłńśźżğış")
+SELDOM = set("æœÿëòìùûîôö")  # of these, letters that take part in fewer words than others
 PRINTED = set("–—‘’‚“”„…«»¿¡°ºª№•§€‐‑·")
 COST = {"a": 0.0, "e": 0.4, "E": 0.6, "r": 2.0, "R": 2.2, "c": 0.3, "C": 0.4, "y": 1.2, "g": 0.3, "G": 0.4, "b": 0.4, "d": 0.4, "t": 0.4, "k": 0.4, "h": 0.3, "H": 1.0, "p": 0.5, "s": 1.3, "B": 2.0, "X": 2.0, "u": 3.0, "f": 3.0, "n": 1.0, "w": 1.2, " ": 0.0, ".": 0.0}
 LATIN, OTHER = "aeErR", "cCygGbdtkhH"
@@ -48,6 +49,10 @@ def _usual_han(ch: str) -> bool:
 
 #: Marks that stand between words, here within one.
 WITHIN = re.compile(r"(?<=[A-Za-zÀ-ÿ])[‚„…“”«»¿¡•§€º](?=[A-Za-zÀ-ÿ])")
+#: An accented capital behind a small letter.
+CAPITAL = re.compile("[a-z][À-ÖØ-Þ]")
+#: A symbol within a word.
+SYMBOL = re.compile(r"[^\W\d_][^\w\s\x00-\x7f‐‑’‘·\xad][^\W\d_]")
 #: Blanks between characters of scripts that are written without.
 APART = re.compile(r"(?<=[\u3400-\u9fff]) (?=[\u3400-\u9fff])")
 
@@ -116,7 +121,9 @@ def cost(text: str) -> float:
     for ch in text:
         k = kind(ch)
         total += COST[k] + _together(before, k)
-        if k == "a" and last.islower() and ch.isupper() and before != "a":
+        if ch in SELDOM:
+            total += 0.3
+        if last.islower() and ch.isupper() and (k in "ER" if before == "a" else k == "a"):
             total += 0.6
         before, last = k, ch
     return total + 1.5 * len(WITHIN.findall(text)) + 1.5 * len(APART.findall(text)) + 2.0 * len(ESCAPE.findall(text))
@@ -182,7 +189,7 @@ def cheapest(text: str) -> tuple[tuple[str, float], tuple[str, float]]:
                 if new is None or hash(new) in visited:
                     continue
                 visited.add(hash(new))
-                paid = cost(new) + 0.2 * (name != "utf-8")
+                paid = cost(new) + 0.2 * (name != "utf-8") + 0.3 * (depth // 2)
                 certain = sure and name == "utf-8"
                 if paid < best[1] - 1e-9:
                     best = (new, paid)
@@ -222,8 +229,10 @@ def repaired(passage: str) -> str | None:
     (new, after), (certain, paid) = cheapest(passage)
     if certain != passage and before - paid >= max(0.75, 0.3 * before):
         return certain
-    freed = bool(CONTROLS.search(passage)) and not CONTROLS.search(new)
-    least = max(0.75, 0.35 * before) if freed else max(3.0, 0.5 * before)
+    # What no text has: controls, and accented capitals behind small letters.
+    freed = any(rx.search(passage) and not rx.search(new) for rx in (CONTROLS, CAPITAL))
+    within = bool(SYMBOL.search(passage)) and not SYMBOL.search(new)
+    least = max(0.75, 0.35 * before) if freed else max(2.0 if within else 3.0, 0.5 * before)
     return new if new != passage and before - after >= least else None
 
 
@@ -245,7 +254,7 @@ def odd(token: str) -> bool:
     kinds = "".join(map(kind, re.sub(r"(?<=[^\W\d_Ã├])[¬\xad]$", "", token)))
     if not re.search("[^sB.n ]", kinds):
         return False
-    if ODD.search(kinds) or WITHIN.search(token):
+    if ODD.search(kinds) or WITHIN.search(token) or CAPITAL.search(token):
         return True
     return any(_together(a, b) > 0.5 for a, b in zip(kinds, kinds[1:])) or bool(ESCAPE.search(token))
 
