@@ -13,7 +13,14 @@ from lumidex.llm.scanned_text import find_noise, repair
 from lumidex.llm.sentences import split_sentences
 from lumidex.llm.similar_vectors import similar_vector_pairs
 from lumidex.llm.text_quality import not_prose, text_kind, text_statistics
-from lumidex.session import table
+from lumidex.session import spread_out, table
+
+
+COLUMNS = {"chunks": ["id", "text"], "documents": ["doc_id", "text"], "vec_chunks": ["chunk_id", "embedding"]}
+
+
+def _rows(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spread_out(table(spark, folder, name).select(*COLUMNS[name]))
 
 
 def _common_words(spark: SparkSession, folder: str) -> list[str]:
@@ -25,55 +32,55 @@ def _common_words(spark: SparkSession, folder: str) -> list[str]:
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return not_prose(table(spark, folder, "chunks"), "id", "text", _common_words(spark, folder)).withColumnRenamed("id", "chunk_id")
+    return not_prose(_rows(spark, folder, "chunks"), "id", "text", _common_words(spark, folder)).withColumnRenamed("id", "chunk_id")
 
 
 def p1_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    statistics = text_statistics(table(spark, folder, "chunks"), "id", "text", _common_words(spark, folder))
+    statistics = text_statistics(_rows(spark, folder, "chunks"), "id", "text", _common_words(spark, folder))
     return statistics.withColumn("kind", text_kind()).withColumnRenamed("id", "chunk_id")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = similar_vector_pairs(table(spark, folder, "vec_chunks"), "chunk_id", "embedding", k=10, dim=384)
+    pairs = similar_vector_pairs(_rows(spark, folder, "vec_chunks"), "chunk_id", "embedding", k=10, dim=384)
     return pairs.select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return find_noise(table(spark, folder, "chunks"), "id", "text").withColumnRenamed("id", "chunk_id")
+    return find_noise(_rows(spark, folder, "chunks"), "id", "text").withColumnRenamed("id", "chunk_id")
 
 
 def p3_repaired(spark: SparkSession, folder: str) -> DataFrame:
-    return repair(table(spark, folder, "chunks"), "id", "text").withColumnRenamed("id", "chunk_id")
+    return repair(_rows(spark, folder, "chunks"), "id", "text").withColumnRenamed("id", "chunk_id")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return restore_texts(table(spark, folder, "chunks"), "id", "text").select(F.col("id").alias("chunk_id")).distinct()
+    return restore_texts(_rows(spark, folder, "chunks"), "id", "text").select(F.col("id").alias("chunk_id")).distinct()
 
 
 def p4_restored(spark: SparkSession, folder: str) -> DataFrame:
-    return restore_texts(table(spark, folder, "chunks"), "id", "text").withColumnRenamed("id", "chunk_id")
+    return restore_texts(_rows(spark, folder, "chunks"), "id", "text").withColumnRenamed("id", "chunk_id")
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = similar_pairs(table(spark, folder, "chunks"), "id", "text", threshold=0.5, width=3)
+    pairs = similar_pairs(_rows(spark, folder, "chunks"), "id", "text", threshold=0.5, width=3)
     return pairs.select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
+    return leaked_items(_rows(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
 
 
 def p7_inputs(spark: SparkSession, folder: str) -> DataFrame:
-    packed = pack_documents(table(spark, folder, "documents"), "doc_id", "text")
+    packed = pack_documents(_rows(spark, folder, "documents"), "doc_id", "text")
     return packed.withColumnRenamed("id", "doc_id").withColumnRenamed("bin", "input_id")
 
 
 def p7_report(spark: SparkSession, folder: str) -> DataFrame:
-    return packing_report(pack_documents(table(spark, folder, "documents"), "doc_id", "text"))
+    return packing_report(pack_documents(_rows(spark, folder, "documents"), "doc_id", "text"))
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    found = split_sentences(table(spark, folder, "documents"), "doc_id", "text")
+    found = split_sentences(_rows(spark, folder, "documents"), "doc_id", "text")
     return found.select(F.col("id").alias("doc_id"), F.col("start").alias("sent_start"), F.col("end").alias("sent_end"))
 
 
