@@ -46,6 +46,7 @@ NUMBERED = (
 # German words before, or months behind, an ordinal's dot.
 ORDINAL_BEFORE = "dem den der die das des am vom zum bis ab im"
 ORDINAL_BEHIND = "Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember"
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 CLOSING = r"[\"”“’'»)\]]"
 GO_ON = r"(?:\p{Ll}|[–—])"
 
@@ -66,7 +67,9 @@ def _mark(rows: DataFrame, column: str) -> DataFrame:
         new = F.regexp_replace(t, pattern, put)
         rows = rows.withColumn(column, F.when(t.rlike(only), new).otherwise(t) if only else new)
 
-    rows = rows.withColumn(column, F.translate(column, DOT + BREAK + UNIT, "\ufffd\ufffd\ufffd"))
+    own = F.col(column)
+    taken = own.contains(DOT) | own.contains(BREAK) | own.contains(UNIT)
+    rows = rows.withColumn(column, F.when(taken, F.translate(own, DOT + BREAK + UNIT, "\ufffd\ufffd\ufffd")).otherwise(own))
     # Units: blank lines, then list items, numbered ones only below a blank line or another item.
     step(r"(\n[ \t\r]*\n|\n[ \t]*[-*•‣▪◦·+#][ \t])", UNIT + "$1", r"\n[ \t\r]*[\n*•‣▪◦·+#-]")
     step(
@@ -111,10 +114,10 @@ def split_sentences(documents: DataFrame, id_col: str, text_col: str) -> DataFra
     shape = "struct<start: int, end: int, sentence: string>"
 
     def add(state: Column, part: Column) -> Column:
-        tail = F.regexp_replace(part, r"(?U)^\s+", "")
-        body = F.regexp_replace(tail, r"(?U)\s+$", "")
+        tail = F.ltrim(part, F.lit(BLANKS))
+        body = F.rtrim(tail, F.lit(BLANKS))
         start = state["at"] + F.length(part) - F.length(tail)
-        one = F.struct(start.alias("start"), (start + F.length(body)).alias("end"), F.translate(body, DOT, ".").alias("sentence"))
+        one = F.struct(start.alias("start"), (start + F.length(body)).alias("end"), F.replace(body, F.lit(DOT), F.lit(".")).alias("sentence"))
         return F.struct((state["at"] + F.length(part)).alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
 
     begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{shape}>").alias("out"))
