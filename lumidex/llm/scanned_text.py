@@ -5,8 +5,8 @@ forms can give is a misreading, of the form that the corpus has beside its neigh
 lone numbers between lines of text are page numbers. What remains is reflowed by windows over the lines: words that were split by a
 hyphen-like mark are joined unless the corpus writes them with a hyphen, and lines run on until a paragraph ends.
 
-Word counts cover the whole corpus; the most frequent words are broadcast (at most ``FREQUENT`` of them) so that only the rows of
-rarer words are shuffled.
+Word counts cover the whole corpus; the most frequent words that are no misreadings are broadcast (at most ``FREQUENT`` of them) so that
+only the rows of other words are shuffled.
 """
 
 from __future__ import annotations
@@ -67,11 +67,16 @@ def misread_words(counts: DataFrame) -> DataFrame:
     return rare.where(possible).select("word", "form", F.col("n_form").alias("n"))
 
 
-def _in_context(texts: DataFrame, candidates: DataFrame) -> DataFrame:
+def _most_frequent(counts: DataFrame, word: str) -> DataFrame:
+    return counts.where(F.col("n") >= LEAST_FORM).orderBy(F.desc("n"), word).limit(FREQUENT).select(word)
+
+
+def _in_context(texts: DataFrame, candidates: DataFrame, counts: DataFrame) -> DataFrame:
     """(id, word, form) of (id, word, left, right, form, n) rows, one form a word of a text: the one that the corpus has most often
     beside the word's neighbours there, then the most frequent one.
 
-    Neighbours are counted only beside the forms of words that have several, of which at most ``FREQUENT`` are broadcast.
+    Neighbours are counted only beside the forms of words that have several. The ``FREQUENT`` most frequent of these are broadcast, the
+    others joined, for which the corpus's most frequent words besides them are left out before the shuffle.
     """
     counted = cut_lineage(candidates.withColumn("forms", F.size(F.collect_set("form").over(Window.partitionBy("id", "word")))))
     several = counted.where("forms > 1").drop("forms")
@@ -80,7 +85,9 @@ def _in_context(texts: DataFrame, candidates: DataFrame) -> DataFrame:
         return clear
     asked = several.distinct()
     tokens = texts.select(_words(F.col("text")).alias("t"))
-    forms = F.broadcast(several.groupBy("form").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "form").limit(FREQUENT).select("form"))
+    forms = cut_lineage(several.groupBy("form").agg(F.max("n").alias("n")))
+    first = cut_lineage(forms.orderBy(F.desc("n"), "form").limit(FREQUENT).select("form"))
+    others = forms.join(first, "form", "left_anti").select("form")
     # One pass over the corpus: each pair of neighbours from either word's side, kept only beside an asked form.
     ends = F.greatest(F.size("t") - 1, F.lit(0))
     pairs = tokens.select(F.explode(F.arrays_zip(F.slice("t", 1, ends).alias("x"), F.slice("t", 2, ends).alias("y"))).alias("z"))
@@ -88,7 +95,11 @@ def _in_context(texts: DataFrame, candidates: DataFrame) -> DataFrame:
         F.struct(F.col("z.x").alias("form"), F.lit(1).alias("side"), F.col("z.y").alias("other")),
         F.struct(F.col("z.y").alias("form"), F.lit(0).alias("side"), F.col("z.x").alias("other")),
     )
-    near = pairs.select(F.explode(sides).alias("s")).select("s.*").join(forms, "form", "left_semi")
+    ends_of_pairs = pairs.select(F.explode(sides).alias("s")).select("s.*")
+    near = ends_of_pairs.join(F.broadcast(first), "form", "left_semi")
+    if not others.isEmpty():
+        spared = _most_frequent(counts.withColumnRenamed("word", "form").join(others, "form", "left_anti"), "form")
+        near = near.unionByName(ends_of_pairs.join(F.broadcast(spared), "form", "left_anti").join(others, "form", "left_semi"))
     near = near.groupBy("form", "side", "other").agg(F.count("*").alias("c"))
     beside = F.array(F.struct(F.lit(1).alias("side"), F.col("right").alias("other")), F.struct(F.lit(0).alias("side"), F.col("left").alias("other")))
     asked = asked.select("id", "word", "form", "n", F.explode(beside).alias("b")).select("id", "word", "form", "n", "b.*")
@@ -183,11 +194,13 @@ SPACED = r"(?<![\p{L}\p{M}\p{N}.'’\-])(\p{L}\p{M}*(?: \p{L}\p{M}*){2,})(?![\p{
 
 def _misreadings(texts: DataFrame, counts: DataFrame) -> DataFrame:
     """(id, word, form) of misread words and (id, spaced letters, word)."""
-    frequent = counts.where(F.col("n") >= LEAST_FORM).orderBy(F.desc("n"), "word").limit(FREQUENT).select("word")
+    misread = cut_lineage(misread_words(counts))
+    # A misreading may itself be among the frequent words; what is spared the shuffle are those that are no candidates.
+    spared = _most_frequent(counts.join(misread, "word", "left_anti"), "word")
     rare = texts.select("id", _words(F.col("text")).alias("t")).select("id", "t", F.posexplode("t").alias("p", "word")).where(F.length("word") >= 4)
     rare = rare.select("id", "word", F.get("t", F.col("p") - 1).alias("left"), F.get("t", F.col("p") + 1).alias("right"))
-    rare = rare.join(F.broadcast(frequent), "word", "left_anti").join(misread_words(counts), "word")
-    rare = _in_context(texts, rare)
+    rare = rare.join(F.broadcast(spared), "word", "left_anti").join(misread, "word")
+    rare = _in_context(texts, rare, counts)
     spaced = texts.where(F.col("text").rlike(SPACED)).select("id", F.explode(F.regexp_extract_all("text", F.lit(SPACED), F.lit(1))).alias("word"))
     spaced = spaced.withColumn("form", F.regexp_replace("word", " ", "")).withColumn("key", F.lower("form"))
     known = counts.select(F.col("word").alias("key"), "n")

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from lumidex.llm import scanned_text
 from lumidex.llm.encoding import cheapest, cost, restore, restore_texts
 from lumidex.llm.scanned_text import find_noise, misread_words, repair, word_counts
 from lumidex.llm.sentences import split_sentences
@@ -168,6 +169,17 @@ def test_forms_are_chosen_by_context(spark):
     assert got == {200: "lay one tile there", 201: "open the file today"}
 
 
+def test_misreadings_that_come_often_are_found(spark):
+    rows = [(i, "we met the group today") for i in range(300)] + [(1000 + i, f"we met the gr0up {i}") for i in range(9)]
+    got = {(r.id, r.noise) for r in find_noise(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()}
+    assert got == {(1000 + i, "misread") for i in range(9)}
+
+
+def test_forms_that_are_not_broadcast_count(spark, monkeypatch):
+    monkeypatch.setattr(scanned_text, "FREQUENT", 1)
+    test_forms_are_chosen_by_context(spark)
+
+
 def test_scans_are_repaired(spark):
     got = {r.id: r.text for r in repair(corpus(spark), "id", "text").collect()}
     assert set(got) == {1, 4}
