@@ -65,6 +65,23 @@ def test_large_class_is_paired_with_its_first(spark):
     assert got == {(0, i) for i in range(1, 30)} | {(0, 99)}
 
 
+def test_all_pairs_of_a_large_class(spark):
+    rows = [(i, "one and the same text of copies" if i % 2 else f"One and the{' ' * (i % 7 + 1)}same text, of copies!") for i in range(1100)]
+    rows += [(5000 + i, "one and the same text of copies again") for i in range(3)]
+    pairs = near_duplicates.similar_pairs(spark.createDataFrame(rows, "id long, text string"), "id", "text").cache()
+    ids = [i for i, _ in rows]
+    assert pairs.count() == len(ids) * (len(ids) - 1) // 2
+    assert pairs.distinct().count() == pairs.where("a < b").count() == pairs.count()
+
+
+def test_classes_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BLOCK", 3)
+    rows = [(i, "one and the same text of copies") for i in range(20)] + [(30 + i, "one and the same text of copies again") for i in range(8)]
+    rows += [(50, "one and the same text of copies again now"), (60, "quite another text that nothing is near"), (70, "hi"), (71, "hi")]
+    got = [(r.a, r.b) for r in near_duplicates.similar_pairs(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()]
+    assert sorted(got) == sorted([*itertools.combinations([*range(20), *range(30, 38), 50], 2), (70, 71)])
+
+
 def clusters(n, dim, seed):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(n // 20, dim))
