@@ -18,7 +18,7 @@ def plain_words(text: Column) -> Column:
     """Words of a text: pieces between white space, lower case, only their letters and digits, none empty.
     Null stays null; a text without words gives an empty array."""
     kept = F.regexp_replace(F.lower(text), rf"[^\p{{L}}\p{{N}}{SPACE}]+", "")
-    return F.filter(F.split(kept, rf"[{SPACE}]+"), lambda w: w != "")
+    return F.array_remove(F.split(kept, rf"[{SPACE}]+"), "")
 
 
 def word_hashes(words: Column) -> Column:
