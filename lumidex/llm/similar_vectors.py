@@ -2,13 +2,14 @@
 
 Codebooks of full-dimensional words are trained on a bounded sample (``SAMPLE`` vectors): the first by k-means over the unit
 vectors, each further one over what the ones before left. A vector is encoded by beam search, as the sum of one word
-of each codebook, and keeps the norm of that sum. The prefix of its code is its cell: one word, or more where the sample
-says that a cell would hold too many rows. Every vector is sent to its own cell, where it is searched for and found, and to
-``probes - 1`` more cells of its beam, where it only searches. In a cell a query's products with all words give a
-lookup table; the sum of four entries over the stored norm scores each code, and the best ``rerank`` are ranked anew by
-the exact cosine of the full vectors, which the cell's rows carry (as 16-bit numbers where that loses nothing).
-
-Cells that stay large at the full depth are cut into blocks of at most ``BLOCK`` rows, each of which the cell's queries visit.
+of each codebook, and keeps the norm of that sum. The nearest word of the first codebook is its cell, or a path of
+two or three words where the sample says that a cell would hold too many rows. Every vector is sent to its own cell, where it is searched
+for and found, and to ``probes - 1`` more of the nearest cells, where it only searches. In a cell a query's products with all words give a
+lookup table; the sum of a code's entries over the stored norm scores it, and the best ``rerank`` are ranked anew by
+the exact cosine of the full vectors, which the cell's rows carry (in 10 or 16 bits a number where that loses nothing).
+
+Cells that stay large at the full depth are cut into blocks of about ``BLOCK`` rows; each block of queries meets each block of
+rows in a group of its own, so that no group holds more than two blocks.
 Vectors that the sample holds in three or more copies are set apart: only the ``k + 1`` copies with the smallest ids can be among
 anything's k nearest, so only they enter the cells; further copies have the k smallest ids as neighbours.
 """
@@ -24,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE = 8192
-WORDS = (256, 64, 64, 64)  # of each codebook
+SAMPLE = 16_384
+WORDS = (1024, 256, 256, 256, 256, 256)  # of each codebook at most
 BEAM = 4
-CELL = 400  # rows of a cell on average
+REACH = 4  # words that are followed from each prefix when cells are sought
+CELL = 1000  # rows of a cell on average
+HEAVY = 8  # times as many rows before a prefix is cut further
 BLOCK = 20_000
-ENCODED = "cell bigint, block int, id bigint, base boolean, vector binary, code binary, norm float"
+ENCODED = "cell bigint, block bigint, id bigint, base boolean, query boolean, vector binary, code binary, norm float"
 
 
 def usable(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -40,7 +43,7 @@ def usable(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
     flat = lists.values.to_numpy(zero_copy_only=False).astype(np.float32)
     rows = flat[(offsets[:-1][right][:, None] + np.arange(dim))] if right.any() else np.empty((0, dim), np.float32)
     good = np.isfinite(rows).all(axis=1) & rows.any(axis=1)
-    return ids.to_numpy(zero_copy_only=False)[right][good].astype(np.int64), rows[good]
+    return ids.to_numpy(zero_copy_only=False)[right][good].astype(np.int64), rows[good] + np.float32(0)  # no negative zeros
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -57,28 +60,52 @@ def fingerprints(x: np.ndarray) -> np.ndarray:
 
 
 def pack(x: np.ndarray) -> pa.Array:
-    """Vectors as bytes: of 16-bit numbers where these are the same, else of 32-bit ones."""
+    """Vectors as bytes without loss: as 10-bit multiples of a power of two (its exponent first) where they are such, as vectors given to few digits
+    are, else of 16-bit numbers where these are the same, else of 32-bit ones."""
+    n, dim = x.shape
+    few = 1 + dim + (dim + 3) // 4
+    exponents = np.full(n, -1)
+    for e in range(6, 13) if few < 2 * dim else ():
+        left = np.flatnonzero(exponents < 0)
+        with np.errstate(over="ignore", invalid="ignore"):
+            y = x[left] * np.float32(1 << e)
+            exponents[left[((y == np.rint(y)) & (y >= -512) & (y < 512)).all(axis=1)]] = e
     with np.errstate(over="ignore"):
         half = x.astype(np.float16)
-    short = (half.astype(np.float32) == x).all(axis=1)
-    widths = np.where(short, 2, 4) * x.shape[1]
+    short = (exponents < 0) & (half.astype(np.float32) == x).all(axis=1)
+    widths = np.where(exponents >= 0, few, np.where(short, 2, 4) * dim)
     ends = np.concatenate(([0], np.cumsum(widths)))
     data = np.empty(int(ends[-1]), np.uint8)
-    for at, kept in ((np.flatnonzero(short), half), (np.flatnonzero(~short), x)):
+    at = np.flatnonzero(exponents >= 0)
+    if len(at):
+        y = np.zeros((len(at), (dim + 3) // 4 * 4), np.uint16)
+        y[:, :dim] = (x[at] * (1 << exponents[at])[:, None] + 512).astype(np.uint16)
+        high = (y >> 8).astype(np.uint8).reshape(len(at), -1, 4)
+        high = high[:, :, 0] | high[:, :, 1] << 2 | high[:, :, 2] << 4 | high[:, :, 3] << 6
+        data[ends[at][:, None] + np.arange(few)] = np.concatenate([exponents[at][:, None].astype(np.uint8), (y[:, :dim] & 255).astype(np.uint8), high], axis=1)
+    for at, kept in ((np.flatnonzero(short), half), (np.flatnonzero((exponents < 0) & ~short), x)):
         if len(at):
             raw = np.ascontiguousarray(kept[at]).view(np.uint8)
             data[ends[at][:, None] + np.arange(raw.shape[1])] = raw
-    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
 
 
 def unpack(column: pa.Array, dim: int) -> np.ndarray:
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(column.buffers()[2], np.uint8)
     out = np.empty((len(column), dim), np.float32)
-    for width, kind in ((2 * dim, np.float16), (4 * dim, np.float32)):
+    few = 1 + dim + (dim + 3) // 4
+    for width, kind in ((few if few < 2 * dim else -1, None), (2 * dim, np.float16), (4 * dim, np.float32)):
         at = np.flatnonzero(np.diff(offsets) == width)
-        if len(at):
-            out[at] = np.ascontiguousarray(data[offsets[at][:, None] + np.arange(width)]).view(kind)
+        if not len(at):
+            continue
+        raw = np.ascontiguousarray(data[offsets[at][:, None] + np.arange(width)])
+        if kind:
+            out[at] = raw.view(kind)
+        else:
+            high = (raw[:, 1 + dim :, None] >> np.array([0, 2, 4, 6], np.uint8) & 3).reshape(len(at), -1)[:, :dim]
+            y = (high.astype(np.int16) << 8) + raw[:, 1 : 1 + dim] - 512
+            out[at] = y.astype(np.float32) * np.exp2(-raw[:, :1].astype(np.float32))
     return out
 
 
@@ -98,18 +125,17 @@ class Codebooks:
     words: np.ndarray  # all codebooks' words, one below the other
     sizes: list[int]
     heavy: list[np.ndarray]  # by depth 1, 2: prefixes that are cut further
-    large: dict[int, int]  # cells of more than one block
-    depth: int = 3
+    large: dict[int, int]  # cells of more than one block, and their blocks
 
     @property
     def starts(self) -> list[int]:
         return [sum(self.sizes[:m]) for m in range(len(self.sizes))]
 
-    def beams(self, x: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """(the beam's codes after each level (n, beam, level), the best code (n, levels), the norm of its sum)."""
+    def beams(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the best code (n, levels) that beam search finds, the norm of its sum)."""
         products = x @ self.words.T
         gram = self.words @ self.words.T
-        n, levels = len(x), []
+        n = len(x)
         codes, errors = np.zeros((n, 1, 0), np.int64), np.zeros((n, 1), np.float32)
         for size, start in zip(self.sizes, self.starts):
             own = slice(start, start + size)
@@ -122,10 +148,9 @@ class Codebooks:
             top = np.take_along_axis(top, np.take_along_axis(total, top, 1).argsort(axis=1, kind="stable"), 1)
             errors = np.take_along_axis(total, top, 1)
             codes = np.concatenate([np.take_along_axis(codes, (top // size)[:, :, None], 1), (top % size)[:, :, None]], axis=2)
-            levels.append(codes)
         best = codes[:, 0]
         sums = sum(self.words[best[:, m] + s] for m, s in enumerate(self.starts))
-        return levels, best, np.linalg.norm(sums, axis=1).astype(np.float32)
+        return best, np.linalg.norm(sums, axis=1).astype(np.float32)
 
     def cell(self, codes: np.ndarray) -> np.ndarray:
         """The cell of codes (..., at least 3): their prefix, as long as the prefixes are heavy."""
@@ -135,61 +160,112 @@ class Codebooks:
         a, b = len(self.heavy[0]), len(self.heavy[1])
         return np.where(~self.heavy[0][one], one, np.where(~self.heavy[1][two], a + two, a + b + three))
 
-    def probed(self, levels: list[np.ndarray], probes: int) -> np.ndarray:
-        """(n, probes) cells: a vector's own one, then others of its beams; -1 where there are no more."""
-        first = levels[0][:, :, 0]
-        others = np.where(self.heavy[0][first], -1, first)
-        deep = self.cell(levels[2])
-        order = np.concatenate([deep[:, :1], others[:, :probes], deep[:, 1:], others[:, probes:]], axis=1)
-        out = np.full((len(order), probes), -1, np.int64)
-        out[:, 0] = order[:, 0]
-        filled = np.ones(len(order), np.int64)
-        for c in order.T[1:]:
-            new = (c >= 0) & (filled < probes) & ~(out == c[:, None]).any(axis=1)
+    def paths(self, x: np.ndarray, reach: int) -> np.ndarray:
+        """(n, paths, 3) first words of codes by their distance, a vector's own one first; a word below a prefix that is not heavy is 0.
+
+        The own path descends to the nearest word. The others lie below the nearest ``reach`` first words; where the own
+        first word is heavy, each of these is followed to its best ``REACH`` children and all are compared at that depth, so that the
+        cells beside a heavy prefix are reached as well as those within it.
+        """
+        n, first = len(x), self.sizes[0]
+        norms = (self.words**2).sum(axis=1)
+        errors = norms[:first] - 2 * x @ self.words[:first].T
+        reach = min(reach, first)
+        one = np.argpartition(errors, reach - 1, axis=1)[:, :reach]
+        one = np.take_along_axis(one, np.take_along_axis(errors, one, 1).argsort(axis=1, kind="stable"), 1)
+        if not self.heavy[0].any():
+            return np.stack([one, np.zeros_like(one), np.zeros_like(one)], axis=2)
+        second, third = self.sizes[1], self.sizes[2]
+        keep = min(REACH, second)
+        own = slice(first, first + second)
+        below = (norms[own] - 2 * x @ self.words[own].T)[:, None, :] + (2 * self.words[:first] @ self.words[own].T)[one]
+        two = np.argpartition(below, keep - 1, axis=2)[:, :, :keep]
+        two = np.take_along_axis(two, np.take_along_axis(below, two, 2).argsort(axis=2, kind="stable"), 2)
+        single = np.take_along_axis(errors, one, 1)[:, :, None]
+        whole = np.where(self.heavy[0][one[:, :1]][:, :, None], single + np.take_along_axis(below, two, 2), single).reshape(n, -1)
+        whole[:, 0] = -np.inf  # the nearest word and its nearest child
+        one, two = np.repeat(one, keep, axis=1), two.reshape(n, -1)
+        order = whole.argsort(axis=1, kind="stable")
+        one, two = np.take_along_axis(one, order, 1), np.take_along_axis(two, order, 1)
+        two = np.where(self.heavy[0][one], two, 0)
+        three = np.zeros_like(two)
+        row, path = np.nonzero(self.heavy[0][one] & self.heavy[1][one * second + two])
+        last = slice(first + second, first + second + third)
+        for s in range(0, len(row), 20_000):
+            r, p = row[s : s + 20_000], path[s : s + 20_000]
+            left = x[r] - self.words[one[r, p]] - self.words[first + two[r, p]]
+            three[r, p] = (norms[last] - 2 * left @ self.words[last].T).argmin(axis=1)
+        return np.stack([one, two, three], axis=2)
+
+    def probed(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """(n, probes) cells, a vector's own one first, then others by their distance; -1 where there are no more."""
+        cells = self.cell(self.paths(x, max(REACH, probes)))
+        out = np.full((len(x), probes), -1, np.int64)
+        out[:, 0] = cells[:, 0]
+        filled = np.ones(len(x), np.int64)
+        for c in cells.T[1:]:
+            new = (filled < probes) & ~(out == c[:, None]).any(axis=1)
             out[np.flatnonzero(new), filled[new]] = c[new]
             filled += new
         return out
 
 
-def train(sample: np.ndarray, n: int, cell_rows: int = CELL, rounds: int = 8) -> Codebooks:
+def train(sample: np.ndarray, n: int, cell_rows: int = CELL, rounds: int = 5) -> Codebooks:
     """Codebooks from unit vectors of a sample of a collection of n; which prefixes are heavy is carried over from the sample's shares."""
     rng = np.random.default_rng(11)
     left, words, sizes = np.unique(sample, axis=0), [], []
     for m, most in enumerate(WORDS):
         k = max(1, min(most, len(left) // 4, ceil(n / cell_rows) if m == 0 else most))
-        book = _kmeans(left, k, rounds, rng)
+        book = _kmeans(left, k, rounds if m else 2 * rounds, rng)
         words.append(book)
         sizes.append(k)
         left = left - book[(left @ book.T - 0.5 * (book**2).sum(axis=1)).argmax(axis=1)]
     books = Codebooks(np.concatenate(words), sizes, [np.zeros(sizes[0], bool), np.zeros(sizes[0] * sizes[1], bool)], {})
-    best = books.beams(sample)[1]
-    scale, least = n / len(sample), 4 * cell_rows
-    books.heavy[0] = np.bincount(best[:, 0], minlength=sizes[0]) * scale > least
-    books.heavy[1] = np.bincount(best[:, 0] * sizes[1] + best[:, 1], minlength=sizes[0] * sizes[1]) * scale > least
-    cells, counts = np.unique(books.cell(best), return_counts=True)
+    scale, least = n / len(sample), HEAVY * cell_rows
+    own = lambda: np.concatenate([books.paths(sample[s : s + 2000], 1)[:, 0] for s in range(0, len(sample), 2000)])
+    books.heavy[0] = np.bincount(own()[:, 0], minlength=sizes[0]) * scale > least
+    path = own()
+    if books.heavy[0].any():
+        path = path[books.heavy[0][path[:, 0]]]
+        books.heavy[1] = np.bincount(path[:, 0] * sizes[1] + path[:, 1], minlength=sizes[0] * sizes[1]) * scale > least
+        path = own()
+    cells, counts = np.unique(books.cell(path), return_counts=True)
     books.large = {int(c): ceil(s * scale / BLOCK) for c, s in zip(cells, counts) if s > 2 and s * scale > BLOCK}
     return books
 
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of numbers of one width as bytes."""
+    width = rows.shape[1] * rows.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(0, len(rows) * width + 1, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
 def _encoded(ids: np.ndarray, x: np.ndarray, books: Codebooks, probes: int) -> Iterator[pa.RecordBatch]:
+    """Rows for the cells that vectors belong to and search in. In a cell of B blocks a vector of block i is a row of the groups
+    (every query block, i) and a query of the groups (i, every block)."""
     if not len(ids):
         return
-    levels, best, norms = books.beams(unit(x))
-    cells = books.probed(levels, probes)
-    vectors, codes = pack(x), best.astype(np.uint8)
-    codes = pa.Array.from_buffers(pa.binary(), len(codes), [None, pa.py_buffer(np.arange(0, codes.size + 1, codes.shape[1], dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(codes))])
+    y = unit(x)
+    best, norms = books.beams(y)
+    cells = books.probed(y, probes)
+    vectors, codes = pack(x), _binary(best.astype(np.uint16))
     for p in range(probes):
         at = np.flatnonzero(cells[:, p] >= 0)
         cell = cells[at, p]
         blocks = np.array([books.large.get(c, 1) for c in cell.tolist()], np.int64)
-        own = ids[at] % np.maximum(blocks, 1)
-        for b in range(int(blocks.max(initial=0))):
-            there = np.flatnonzero(blocks > b)
-            take = pa.array(at[there])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cell[there]), pa.array(np.full(len(there), b, np.int32)), pa.array(ids[at[there]]), pa.array((own[there] == b) & (p == 0)), vectors.take(take), codes.take(take), pa.array(norms[at[there]])],
-                names=["cell", "block", "id", "base", "vector", "code", "norm"],
-            )
+        mine = ids[at] % blocks
+        for other in range(int(blocks.max(initial=0))):
+            inside = blocks > other
+            # As a query to block ``other``, and (in the own cell) as a row for the queries of block ``other``; both at once where they are one group.
+            for query, base, there in ((True, p == 0, inside & (mine == other)), (True, False, inside & (mine != other)), (False, True, inside & (mine != other) & (p == 0))):
+                j = np.flatnonzero(there)
+                if len(j):
+                    group = mine[j] * blocks[j] + other if query else other * blocks[j] + mine[j]
+                    take = pa.array(at[j])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(cell[j]), pa.array(group), pa.array(ids[at[j]]), pa.array(np.full(len(j), base)), pa.array(np.full(len(j), query)), vectors.take(take), codes.take(take), pa.array(norms[at[j]])],
+                        names=["cell", "block", "id", "base", "query", "vector", "code", "norm"],
+                    )
 
 
 def _best(queries: np.ndarray, own: np.ndarray, base: np.ndarray, ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: Codebooks, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray]:
@@ -214,24 +290,24 @@ def _searched(books, dim: int, k: int, rerank: int):
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         column = lambda name: group.column(name).chunk(0) if group.num_rows else None
-        ids, base = column("id").to_numpy(), column("base").to_numpy(zero_copy_only=False)
-        _, first = np.unique(np.stack([ids, ~base]), axis=1, return_index=True)
-        first = first[np.unique(ids[first], return_index=True)[1]]  # one row an id, its base row if there is one
+        ids, base, query = column("id").to_numpy(), column("base").to_numpy(zero_copy_only=False), column("query").to_numpy(zero_copy_only=False)
+        # One row an id, which is a row of the cell or a query if any of its rows is.
+        ids, first, where = np.unique(ids, return_index=True, return_inverse=True)
+        held, asked = (np.flatnonzero(np.bincount(where, weights=flag, minlength=len(ids))) for flag in (base, query))
         x = unit(unpack(column("vector").take(pa.array(first)), dim))
-        ids, base = ids[first], base[first]
-        codes = np.frombuffer(b"".join(column("code").take(pa.array(first)).to_pylist()), np.uint8).reshape(len(ids), -1)
+        codes = np.frombuffer(b"".join(column("code").take(pa.array(first)).to_pylist()), np.uint16).reshape(len(ids), -1)
         norms = np.maximum(column("norm").to_numpy()[first], 1e-9)
-        held = np.flatnonzero(base)
         sims, found = [np.empty((0, k))], [np.empty((0, k), np.int64)]
         if len(held):
             step = max(1, min(256, 4_000_000 // len(held)))
-            for s in range(0, len(ids), step):
-                a, b = _best(x[s : s + step], ids[s : s + step], x[held], ids[held], codes[held], norms[held], books.value, k, rerank)
+            for s in range(0, len(asked), step):
+                at = asked[s : s + step]
+                a, b = _best(x[at], ids[at], x[held], ids[held], codes[held], norms[held], books.value, k, rerank)
                 short = k - a.shape[1]
                 sims.append(np.pad(a, ((0, 0), (0, max(short, 0))), constant_values=-9.0))
                 found.append(np.pad(b, ((0, 0), (0, max(short, 0))), constant_values=-1))
         sims, found = np.concatenate(sims), np.concatenate(found)
-        ids = ids[: len(sims)]
+        ids = ids[asked][: len(sims)]
         real = found >= 0
         ends = np.concatenate(([0], np.cumsum(real.sum(axis=1)))).astype(np.int32)
         pairs = pa.StructArray.from_arrays([pa.array(-sims[real]), pa.array(found[real])], names=["distance", "neighbour"])
@@ -240,8 +316,29 @@ def _searched(books, dim: int, k: int, rerank: int):
     return run
 
 
+def _sampled(rows: DataFrame, dim: int, size: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """(ids, vectors, share) of about ``size`` usable vectors, drawn by a hash of the id; of all of them where there are fewer. Where most rows are
+    unusable the share grows eightfold until an eighth of the size is reached, so that no more than about ``size`` vectors ever come to the driver."""
+    whole = 1 << 30
+
+    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, x = usable(batch, dim)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pack(x)], names=["id", "vector"])
+
+    share = min(whole, ceil(whole * size / max(rows.count(), 1)))
+    while True:
+        drawn = rows.where(F.pmod(F.xxhash64("id"), F.lit(whole)) < share).mapInArrow(cleaned, "id bigint, vector binary").toArrow().combine_chunks()
+        if share == whole or drawn.num_rows * 8 >= size:
+            break
+        share = min(whole, share * 8)
+    if not drawn.num_rows:
+        return np.empty(0, np.int64), np.empty((0, dim), np.float32), 1.0
+    return drawn.column("id").chunk(0).to_numpy(), unpack(drawn.column("vector").chunk(0), dim), share / whole
+
+
 def similar_vectors(
-    vectors: DataFrame, id_col: str, vector_col: str, *, k: int = 10, dim: int = 384, probes: int = 2, rerank: int = 64, sample: int = SAMPLE, cell_rows: int = CELL
+    vectors: DataFrame, id_col: str, vector_col: str, *, k: int = 10, dim: int = 384, probes: int = 2, rerank: int = 128, sample: int = SAMPLE, cell_rows: int = CELL
 ) -> DataFrame:
     """(id, neighbour, similarity, rank) of the k vectors most similar to each by cosine; equal ones by the smaller id.
 
@@ -250,23 +347,14 @@ def similar_vectors(
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("vector"))
-    n = rows.count()
-    share = min(1 << 20, ceil((1 << 20) * sample / max(n, 1)))
-
-    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, x = usable(batch, dim)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pack(x)], names=["id", "vector"])
-
-    drawn = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share).mapInArrow(cleaned, "id bigint, vector binary").toArrow().combine_chunks()
-    raw = unpack(drawn.column("vector").chunk(0), dim) if drawn.num_rows else np.empty((0, dim), np.float32)
+    own, raw, share = _sampled(rows, dim, sample)
     if not len(raw):
         return spark.createDataFrame([], "id bigint, neighbour bigint, similarity double, rank int")
     hashes = fingerprints(raw)
-    distinct = np.unique(np.stack([hashes, drawn.column("id").chunk(0).to_numpy()]), axis=1)
+    distinct = np.unique(np.stack([hashes, own]), axis=1)
     values, copies = np.unique(distinct[0], return_counts=True)
     hot = values[copies >= 3]
-    books = train(unit(raw), n, cell_rows)
+    books = train(unit(raw), ceil(len(raw) / share), cell_rows)
     shared = spark.sparkContext.broadcast(books)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +375,8 @@ def similar_vectors(
                 at = np.isin(h, hot)
                 yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(ids[at])], names=["hash", "id"])
 
-        held = dict(zip(hashes.tolist(), raw))
+        at = np.unique(hashes, return_index=True)[1]
+        held = {int(hashes[i]): raw[i] for i in at[copies >= 3]}
 
         def encode_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -2,7 +2,9 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lumidex.llm import near_duplicates, similar_vectors
 from lumidex.llm.leakage import edit_distance, leaked_items, leaked_windows, walk_keys
@@ -108,6 +110,40 @@ def test_vector_recall(spark):
     assert np.mean([len(set(want[i]) & set(got[i])) / 10 for i in want]) >= 0.95
 
 
+def test_recall_of_many_vectors(spark):
+    """50,000 vectors of 384 numbers in clusters of 40 with cosines of about 0.85, six times the training sample; the truth of every 100th against all."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(1250, 384)) + 0.5
+    x = centres[rng.integers(0, 1250, 50_000)] + 0.45 * rng.normal(size=(50_000, 384))
+    x = (np.rint(x / np.linalg.norm(x, axis=1, keepdims=True) * 2048) / 2048).astype(np.float32)
+    table = pa.table({"id": np.arange(len(x)), "v": pa.array(list(x))})
+    found = similar_vectors.similar_vectors(spark.createDataFrame(table).repartition(8), "id", "v", sample=8192)
+    got = found.where("id % 100 = 0").groupBy("id").agg(F.collect_set("neighbour").alias("n")).collect()
+    u = similar_vectors.unit(x)
+    hits = 0
+    for r in got:
+        s = np.round((u @ u[r.id]).astype(np.float64), 6)
+        s[r.id] = -9
+        hits += len(set(np.lexsort((np.arange(len(s)), -s))[:10].tolist()) & set(r.n))
+    assert len(got) == 500 and hits / 5000 >= 0.95
+
+
+def test_large_cells_are_searched_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similar_vectors, "BLOCK", 100)
+    monkeypatch.setattr(similar_vectors, "HEAVY", 10**6)
+    x, ids = clusters(1000, 16, 2), np.arange(1000)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "id long, v array<float>")
+    want, got = exact(x, ids, 5), {}
+    for r in similar_vectors.similar_vectors(df, "id", "v", dim=16, k=5, cell_rows=1000).collect():
+        got.setdefault(r.id, set()).add(r.neighbour)
+    assert np.mean([len(set(want[i]) & got[i]) / 5 for i in want]) >= 0.97
+
+
+def test_few_usable_vectors_among_many_rows(spark):
+    rows = spark.range(40_000).select("id", F.when(F.col("id") % 10_000 == 7, F.array(F.lit(1.0), F.col("id") + 0.0)).cast("array<float>").alias("v"))
+    assert similar_vectors.similar_vectors(rows, "id", "v", dim=2, sample=100).count() == 4 * 3
+
+
 def test_vector_cases(spark):
     nan = float("nan")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, None), (7, [1.0]), (8, []), (None, [1.0, 0.0]), (9, [1.0, None])]
@@ -135,6 +171,12 @@ def test_many_copies_of_a_vector(spark):
 def test_vectors_packed_without_loss():
     x = np.array([[0.5, 1 / 3], [0.25, -2.0], [1e30, 1.0], [70000.0, 1.0]], np.float32)
     assert (similar_vectors.unpack(similar_vectors.pack(x), 2) == x).all()
+    rng = np.random.default_rng(0)
+    few, half = np.rint(rng.normal(size=(20, 7)) * 100) / 2048, rng.normal(size=(20, 7)).astype(np.float16)
+    x = np.concatenate([few, half, rng.normal(size=(20, 7))]).astype(np.float32)
+    column = similar_vectors.pack(x)
+    assert (similar_vectors.unpack(column, 7) == x).all() and (similar_vectors.unpack(column.slice(15, 30), 7) == x[15:45]).all()
+    assert column.nbytes < 60 * 30
 
 
 def leak_truth(docs, items, width=8, least=0.5):
