@@ -119,6 +119,23 @@ def test_kinds(spark):
     assert not_prose(df.limit(0), "id", "text", COMMON).count() == 0
 
 
+def test_each_signal_of_layout_decides(spark):
+    """Records that only the period of their indentation or of their line lengths gives away, and a table that only the alignment of its cells does."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abdegilmnorstu") for _ in range(n))
+    line = lambda *sizes: " ".join(word(k) for k in sizes)
+    indented = "\n".join(("    " if i % 3 else "") + line(6, 5, 7, 6, 5, 8, 4) for i in range(18))
+    lengths = "\n".join(line(*([7, 8, 6, 7, 8, 9, 8, 7, 6] if i % 2 else [6, 7, 5])) for i in range(20))
+    flat = "\n".join(line(6, 5, 7, 6, 5, 8, 4) for i in range(18))
+    table = "\n".join(f"{word(4)} {word(3):<9}{word(5)} {word(4)} {word(3):<12}{word(6)} {word(5)}" for i in range(9))
+    loose = "\n".join(f"{word(4)} {word(rng.randint(2, 9))}  {word(5)} {word(4)} {word(rng.randint(2, 9))}  {word(6)} {word(5)}" for i in range(9))
+    df = spark.createDataFrame([(1, indented), (2, lengths), (3, flat), (4, table), (5, loose)], "id long, text string")
+    got = {r.id: r for r in text_statistics(df, "id", "text", COMMON).withColumn("kind", text_kind()).collect()}
+    assert {i: r.kind for i, r in got.items()} == {1: "list", 2: "list", 3: "prose", 4: "table", 5: "prose"}
+    assert got[1].indent_period >= 1 > got[1].length_period and got[2].length_period >= 1 > got[2].indent_period
+    assert got[4].aligned_share >= 0.6 > got[5].aligned_share and got[4].delimiter_share == got[5].delimiter_share == 0
+
+
 def test_statistics(spark):
     df = spark.createDataFrame([(1, "One two, three.\nFour five six"), (2, "x" * 200_000)], "id long, text string")
     r = {x.id: x for x in text_statistics(df, "id", "text", ["two", "six"]).collect()}
