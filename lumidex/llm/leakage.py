@@ -4,12 +4,15 @@ A passage has leaked into a document when enough of its word positions are cover
 words that stand in both. Such pieces may be scattered over the document in any order, so the compared windows have the
 size of the smallest piece (``width`` words) and slide over every word of every document and passage.
 
-Each window is embedded by a CGK random walk over its words: 3 * width steps, each emitting the current word and
+Each window is embedded by a CGK random walk over its words: 2 * width steps, each emitting the current word and
 moving on or not by a random bit of that word, which maps small edit distances to small Hamming distances. Each of
 several repetitions samples some of the emitted positions as its key (bit-sampling LSH). Document windows whose key
-meets a passage's are verified by the banded edit distance to the passage's window, up to ``edits`` (0 for pieces that must be
-equal). Equal windows have equal walks, so with ``edits=0`` one repetition already reaches full recall; each
-further one only adds windows that differ slightly.
+meets a passage's are verified by the edit distance to the passage's window, up to ``edits``. Equal windows have equal walks and
+meet in every repetition; the repetitions bring those that differ slightly to the target recall (``REPETITIONS``, ``SAMPLES``).
+Before the walks, a window must share the pairs of neighbouring words with the passages that so few edits leave: each edit takes away two
+pairs at most, so that no window within reach is lost.
+
+At last the positions are counted that verified windows cover: those of equal windows alone, and those of all.
 
 Only the items' windows are broadcast, in blocks of at most ``BLOCK`` windows; the corpus is read once a block and never
 shuffled. Matches are a few narrow rows and are aggregated by Spark.
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumidex.functions.text import not_blank, plain_words, word_hashes
@@ -29,6 +32,8 @@ from lumidex.llm.arrow import parts
 
 BLOCK = 500_000  # item windows broadcast at a time: 36 MB with 8 words each
 TABLE_BITS = 22
+EDITS, REPETITIONS, SAMPLES = 1, 3, 10  # six samples and eight repetitions find 0.96 of the windows with one edit
+PIECE = 500_000  # pairs of windows verified at a time
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -42,7 +47,7 @@ def walk_keys(words: np.ndarray, at: np.ndarray, width: int, seed: int, samples:
 
     ``words`` are 64-bit hashes with at least one spare place at the end; a walk that has passed the window's end stays there and emits nothing.
     """
-    steps = 3 * width
+    steps = 2 * width
     rng = np.random.default_rng(seed)
     sampled = set(rng.choice(steps, size=min(samples, steps), replace=False).tolist())
     last = max(sampled)
@@ -61,8 +66,8 @@ def walk_keys(words: np.ndarray, at: np.ndarray, width: int, seed: int, samples:
 
 def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
     """Edit distances of rows of words, exact up to ``limit`` (beyond it any larger number)."""
-    if limit == 0:
-        return np.where((a == b).all(axis=1), 0, 1)
+    if limit <= 1:  # rows of one length with one edit differ in one place
+        return (a != b).sum(axis=1)
     n, w = a.shape
     row = np.tile(np.arange(w + 1), (n, 1))
     for i in range(1, w + 1):
@@ -89,6 +94,8 @@ class ItemWindows:
         n, self.width = words.shape
         self.item, self.pos, self.words, self.seeds, self.samples = item, pos, words, seeds, samples
         flat = np.concatenate([words.ravel(), np.zeros(1, np.uint64)])
+        self.pairs = np.zeros(1 << TABLE_BITS, bool)
+        self.pairs[self._pairs(words[:, :-1], words[:, 1:]).ravel()] = True
         self.sorted = []
         for seed in seeds:
             keys = walk_keys(flat, np.arange(n) * self.width, self.width, seed, samples)
@@ -97,18 +104,31 @@ class ItemWindows:
             seen[(keys & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)] = True
             self.sorted.append((keys[order], order, seen))
 
-    def candidates(self, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item window) pairs whose keys meet in some repetition."""
-        found = []
+    @staticmethod
+    def _pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return (_mix(left * np.uint64(31) + right) & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)
+
+    def within_reach(self, words: np.ndarray, at: np.ndarray, edits: int) -> np.ndarray:
+        """Which windows have as many of the items' pairs of neighbouring words as ``edits`` edits leave at least."""
+        least = self.width - 1 - 2 * edits
+        if least <= 0:
+            return np.arange(len(at))
+        total = np.concatenate(([0], np.cumsum(self.pairs[self._pairs(words[:-1], words[1:])])))
+        return np.flatnonzero(total[at + self.width - 1] - total[at] >= least)
+
+    def candidates(self, words: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window, item window) pairs whose keys meet, repetition by repetition, in pieces of about ``PIECE``."""
         for seed, (keys, order, seen) in zip(self.seeds, self.sorted):
             own = walk_keys(words, at, self.width, seed, self.samples)
             hit = np.flatnonzero(seen[(own & np.uint64(len(seen) - 1)).astype(np.int64)])
             low = np.searchsorted(keys, own[hit], "left")
             n = np.searchsorted(keys, own[hit], "right") - low
-            inner = np.arange(int(n.sum())) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])) if len(n) else n, n)
-            found.append(np.stack([np.repeat(hit, n), order[np.repeat(low, n) + inner]]))
-        both = np.unique(np.concatenate(found, axis=1), axis=1)
-        return both[0], both[1]
+            ends = np.cumsum(n)
+            total = int(ends[-1]) if len(ends) else 0
+            for s in range(0, total, PIECE):
+                pair = np.arange(s, min(s + PIECE, total))
+                row = np.searchsorted(ends, pair, "right")
+                yield hit[row], order[low[row] + pair - (ends[row] - n[row])]
 
 
 def _matcher(block, edits: int):
@@ -120,14 +140,18 @@ def _matcher(block, edits: int):
                 at, doc = _window_starts(offsets, windows.width)
                 if not len(at):
                     continue
-                mine, theirs = windows.candidates(words, at)
-                own = words[at[mine][:, None] + np.arange(windows.width)]
-                good = edit_distance(own, windows.words[theirs], edits) <= edits
-                hits = np.unique(np.stack([doc[mine[good]], theirs[good]]), axis=1)
+                near = windows.within_reach(words, at, edits)
+                at, doc = at[near], doc[near]
                 ids = part.column("id").to_numpy(zero_copy_only=False)
+                found = [np.empty((3, 0), np.int64)]
+                for mine, theirs in windows.candidates(words, at):
+                    paid = edit_distance(words[at[mine][:, None] + np.arange(windows.width)], windows.words[theirs], edits)
+                    good = paid <= edits
+                    found.append(np.unique(np.stack([doc[mine[good]], theirs[good], paid[good]]), axis=1))
+                hits = np.unique(np.concatenate(found, axis=1), axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[hits[0]], pa.int64()), pa.array(windows.item[hits[1]], pa.int64()), pa.array(windows.pos[hits[1]], pa.int32())],
-                    names=["doc_id", "item_id", "pos"],
+                    [pa.array(ids[hits[0]], pa.int64()), pa.array(windows.item[hits[1]], pa.int64()), pa.array(windows.pos[hits[1]], pa.int32()), pa.array(hits[2], pa.int32())],
+                    names=["doc_id", "item_id", "pos", "edits"],
                 )
 
     return run
@@ -154,9 +178,9 @@ def _item_blocks(items: DataFrame, width: int, block: int) -> Iterator[tuple[np.
 
 def leaked_windows(
     documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "passage",
-    width: int = 8, edits: int = 0, repetitions: int = 1, samples: int = 10, block: int = BLOCK,
+    width: int = 8, edits: int = EDITS, repetitions: int = REPETITIONS, samples: int = SAMPLES, block: int = BLOCK,
 ) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, item_id, pos) of the passages' windows that stand in documents, (item_id, words) of the items).
+    """((doc_id, item_id, pos, edits) of the passages' windows that stand in documents with at most so many edits, (item_id, words) of the items).
 
     Null ids, null and blank texts take no part; texts of fewer than ``width`` words have no window.
     """
@@ -166,24 +190,38 @@ def leaked_windows(
     rows = documents.select(F.col(doc_id).cast("bigint").alias("id"), F.col(doc_text).alias("text")).where(F.col("id").isNotNull() & not_blank(F.col("text")))
     rows = rows.select("id", word_hashes(plain_words(F.col("text"))).alias("words")).where(F.size("words") >= width)
     spark = documents.sparkSession
-    found = spark.createDataFrame([], "doc_id bigint, item_id bigint, pos int")
+    shape = "doc_id bigint, item_id bigint, pos int, edits int"
+    found = spark.createDataFrame([], shape)
     for n, (ids, positions, words) in enumerate(_item_blocks(chosen, width, block)):
         windows = spark.sparkContext.broadcast(ItemWindows(ids, positions, words, list(range(1, repetitions + 1)), samples))
-        part = rows.mapInArrow(_matcher(windows, edits), "doc_id bigint, item_id bigint, pos int")
+        part = rows.mapInArrow(_matcher(windows, edits), shape)
         found = part if n == 0 else found.unionByName(part)
     return found, chosen
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, *, least: float = 0.5, width: int = 8, **columns) -> DataFrame:
-    """(doc_id, item_id, coverage) where at least the share ``least`` of a passage's word positions is covered by sequences of ``width`` or more words that the document has.
+def leak_coverage(documents: DataFrame, items: DataFrame, *, least: float = 0.5, width: int = 8, **options) -> DataFrame:
+    """(doc_id, item_id, coverage, near_coverage) where at least the share ``least`` of a passage's word positions is covered by windows of ``width`` words that
+    the document has with at most ``edits`` edits (``near_coverage``); ``coverage`` is the share covered by equal ones.
 
     A position counts once however often the document repeats it; rows that repeat an id count once; without items or documents there are no rows.
     """
-    found, chosen = leaked_windows(documents, items, width=width, **columns)
+    found, chosen = leaked_windows(documents, items, width=width, **options)
     # The windows' starts in order; each covers its width, or as far as the next one begins.
-    starts = found.groupBy("doc_id", "item_id").agg(F.array_sort(F.collect_set("pos")).alias("s"))
-    n = F.size("s")
-    steps = F.zip_with(F.slice("s", 1, n - 1), F.slice("s", 2, n - 1), lambda x, y: F.least(y - x, F.lit(width)))
-    covered = starts.select("doc_id", "item_id", (F.aggregate(steps, F.lit(0), lambda x, y: x + y) + width).alias("covered"))
+    equal = F.array_sort(F.collect_set(F.when(F.col("edits") == 0, F.col("pos"))))
+    starts = found.groupBy("doc_id", "item_id").agg(equal.alias("equal"), F.array_sort(F.collect_set("pos")).alias("near"))
+
+    def covered(s: str) -> Column:
+        n = F.greatest(F.size(s) - 1, F.lit(0))
+        steps = F.zip_with(F.slice(s, F.lit(1), n), F.slice(s, F.lit(2), n), lambda x, y: F.least(y - x, F.lit(width)))
+        return F.when(F.size(s) > 0, F.aggregate(steps, F.lit(0), lambda x, y: x + y) + width).otherwise(0)
+
+    counts = starts.select("doc_id", "item_id", covered("equal").alias("equal"), covered("near").alias("near"))
     sizes = chosen.select("item_id", F.size("words").alias("n"))
-    return covered.join(sizes, "item_id").select("doc_id", "item_id", (F.col("covered") / F.col("n")).alias("coverage")).where(F.col("coverage") >= least)
+    shares = counts.join(sizes, "item_id").select("doc_id", "item_id", (F.col("equal") / F.col("n")).alias("coverage"), (F.col("near") / F.col("n")).alias("near_coverage"))
+    return shares.where(F.col("near_coverage") >= least)
+
+
+def leaked_items(documents: DataFrame, items: DataFrame, *, least: float = 0.5, **options) -> DataFrame:
+    """(doc_id, item_id, coverage) where at least the share ``least`` of a passage's word positions is covered by sequences of ``width`` or more words
+    that the document has just so; otherwise as ``leak_coverage``."""
+    return leak_coverage(documents, items, least=least, **options).where(F.col("coverage") >= least).drop("near_coverage")

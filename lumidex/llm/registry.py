@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumidex.llm.encoding import restore_texts
-from lumidex.llm.leakage import leaked_items
-from lumidex.llm.near_duplicates import similar_pairs
+from lumidex.llm.leakage import leak_coverage, leaked_items
+from lumidex.llm.near_duplicates import similar_groups, similar_pairs
 from lumidex.llm.packing import pack_documents, packing_report
 from lumidex.llm.scanned_text import find_noise, repair
 from lumidex.llm.sentences import split_sentences
@@ -66,10 +66,18 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
 
 
+def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_groups(_rows(spark, folder, "chunks"), "id", "text", threshold=0.5, width=3).withColumnRenamed("id", "chunk_id")
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(_rows(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
 
 
+def p8_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    return leak_coverage(_rows(spark, folder, "documents"), table(spark, folder, "eval_items"), repetitions=8, samples=6)
+
+
 def p7_inputs(spark: SparkSession, folder: str) -> DataFrame:
     packed = pack_documents(_rows(spark, folder, "documents"), "doc_id", "text")
     return packed.withColumnRenamed("id", "doc_id").withColumnRenamed("bin", "input_id")
@@ -85,5 +93,5 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 MOST_COMMON_WORDS = 2000
-QUERIES = {"p3_found": p3_found, "p3_repaired": p3_repaired, "p1_found": p1_found, "p1_statistics": p1_statistics, "p4_found": p4_found, "p4_restored": p4_restored, "p7_inputs": p7_inputs, "p7_report": p7_report, "p9_found": p9_found, "p2_found": p2_found, "p6_found": p6_found, "p8_found": p8_found}
+QUERIES = {"p3_found": p3_found, "p3_repaired": p3_repaired, "p1_found": p1_found, "p1_statistics": p1_statistics, "p4_found": p4_found, "p4_restored": p4_restored, "p7_inputs": p7_inputs, "p7_report": p7_report, "p9_found": p9_found, "p2_found": p2_found, "p6_found": p6_found, "p6_groups": p6_groups, "p8_found": p8_found, "p8_coverage": p8_coverage}
 ORACLES: dict[str, str] = {}

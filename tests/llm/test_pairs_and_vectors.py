@@ -60,11 +60,23 @@ def test_near_duplicate_cases(spark):
     assert near_duplicates.similar_pairs(docs.limit(0), "id", "text").count() == 0
 
 
-def test_large_class_is_paired_with_its_first(spark):
-    rows = [(i, "one and the same text of copies") for i in range(30)] + [(99, "one and the same text of copies again")]
-    docs = spark.createDataFrame(rows, "id long, text string")
-    got = {(r.a, r.b) for r in near_duplicates.similar_pairs(docs, "id", "text", expand=10).collect()}
-    assert got == {(0, i) for i in range(1, 30)} | {(0, 99)}
+def test_groups(spark):
+    rows = [(i, "one and the same text of copies") for i in range(30)] + [(99, "one and the same text of copies again"), (100, None), (101, "hi")]
+    got = {tuple(r) for r in near_duplicates.similar_groups(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()}
+    assert got == {(i, 0, 30, 1) for i in range(30)} | {(99, 99, 1, 1), (101, 101, 1, 0)}
+
+
+def test_hot_patterns_are_compared_in_blocks(spark, monkeypatch):
+    """Most texts share patterns; dealt to blocks by hash, by windows or not at all they give the same pairs."""
+    texts = [f"one and the same text of copies that many hold beside the number n{i} alone" for i in range(60)] + noisy_texts(20, 1)
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    want = sorted((r.a, r.b) for r in near_duplicates.similar_pairs(docs, "id", "text").collect())
+    assert len(want) >= 60 * 59 // 2
+    monkeypatch.setattr(near_duplicates, "BLOCK", 7)
+    assert sorted((r.a, r.b) for r in near_duplicates.similar_pairs(docs, "id", "text").collect()) == want
+    for name, value in (("SHARE", 1), ("HOT", 5), ("HOT_SHARE", 1000)):
+        monkeypatch.setattr(near_duplicates, name, value)
+    assert sorted((r.a, r.b) for r in near_duplicates.similar_pairs(docs, "id", "text").collect()) == want
 
 
 def test_all_pairs_of_a_large_class(spark):
@@ -228,6 +240,33 @@ def test_edited_windows_are_found(spark):
     assert (walk_keys(flat, np.array([0]), 4, 1, 6) == walk_keys(flat, np.array([0]), 4, 1, 6)).all()
 
 
+def test_recall_of_edited_windows(spark):
+    """Windows within one edit, with the repetitions and samples of p8_coverage, against all pairs of windows."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    passages = [[rng.choice(words) for _ in range(40)] for _ in range(8)]
+    texts = []
+    for d in range(60):
+        copy = list(rng.choice(passages))
+        for _ in range(rng.randint(1, 6)):
+            copy[rng.randrange(40)] = rng.choice(words)
+        texts.append(copy)
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(passages)], "item_id long, passage string")
+    got = {(r.doc_id, r.item_id, r.pos, r.edits) for r in leaked_windows(docs, items, repetitions=8, samples=6)[0].collect()}
+    want = {}
+    for d, t in enumerate(texts):
+        for i, p in enumerate(passages):
+            for q in range(33):
+                best = min(sum(x != y for x, y in zip(t[s : s + 8], p[q : q + 8])) for s in range(33))
+                if best <= 1:
+                    want[d, i, q] = best
+    equal = {k for k, v in want.items() if v == 0}
+    near = {k for k, v in want.items() if v == 1}
+    assert equal == {k[:3] for k in got if k[3] == 0} and {k[:3] for k in got} <= equal | near
+    assert len(near & {k[:3] for k in got if k[3] == 1}) >= 0.9 * len(near)
+
+
 def first_fit_decreasing(sizes, capacity):
     room = []
     for s in sorted(sizes, reverse=True):
