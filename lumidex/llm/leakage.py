@@ -15,7 +15,7 @@ pairs at most, so that no window within reach is lost.
 At last the positions are counted that verified windows cover: those of equal windows alone, and those of all.
 
 Only the items' windows are broadcast, in blocks of at most ``BLOCK`` windows; the corpus is read once a block and never
-shuffled. Matches are a few narrow rows and are aggregated by Spark.
+shuffled. What is left are the texts with enough of an item, a few narrow rows.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumidex.functions.text import not_blank, plain_words, word_hashes
@@ -93,6 +93,9 @@ class ItemWindows:
     def __init__(self, item: np.ndarray, pos: np.ndarray, words: np.ndarray, seeds: list[int], samples: int):
         n, self.width = words.shape
         self.item, self.pos, self.words, self.seeds, self.samples = item, pos, words, seeds, samples
+        # An item's windows all lie in one block, from its first word to its last.
+        self.items, self.place = np.unique(item, return_inverse=True)
+        self.sizes = np.bincount(self.place) + self.width - 1
         flat = np.concatenate([words.ravel(), np.zeros(1, np.uint64)])
         self.pairs = np.zeros(1 << TABLE_BITS, bool)
         self.pairs[self._pairs(words[:, :-1], words[:, 1:]).ravel()] = True
@@ -131,28 +134,67 @@ class ItemWindows:
                 yield hit[row], order[low[row] + pair - (ends[row] - n[row])]
 
 
+def _hits(windows: ItemWindows, edits: int, values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(text, item window, edits) columns of the verified pairs of texts laid end to end, in this order and each once."""
+    words = np.concatenate([values, np.zeros(1, np.uint64)])
+    at, text = _window_starts(offsets, windows.width)
+    found = [np.empty((3, 0), np.int64)]
+    if len(at):
+        near = windows.within_reach(words, at, edits)
+        at, text = at[near], text[near]
+        for mine, theirs in windows.candidates(words, at):
+            paid = edit_distance(words[at[mine][:, None] + np.arange(windows.width)], windows.words[theirs], edits)
+            good = paid <= edits
+            found.append(np.unique(np.stack([text[mine[good]], theirs[good], paid[good]]), axis=1))
+    return np.unique(np.concatenate(found, axis=1), axis=1)
+
+
 def _matcher(block, edits: int):
+    """Rows for each window found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows: ItemWindows = block.value
+        for batch in batches:
+            for part, values, offsets in parts(batch, "words"):
+                text, window, paid = _hits(windows, edits, values, offsets)
+                ids = part.column("id").to_numpy(zero_copy_only=False)
+                columns = [pa.array(ids[text], pa.int64()), pa.array(windows.item[window], pa.int64()), pa.array(windows.pos[window], pa.int32()), pa.array(paid, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "pos", "edits"])
+
+    return run
+
+
+def covered(text: np.ndarray, item: np.ndarray, pos: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, item, positions covered) by windows, in this order of (text, item, pos); each covers its width, or as far as the next one begins."""
+    if not len(text):
+        return text, item, pos
+    last = np.append((np.diff(text) != 0) | (np.diff(item) != 0), True)
+    steps = np.where(last, width, np.minimum(np.append(np.diff(pos), 0), width))
+    first = np.flatnonzero(np.concatenate(([True], last[:-1])))
+    return text[first], item[first], np.add.reduceat(steps, first)
+
+
+def _coverer(block, edits: int, least: float):
+    """Rows for each text and item of which windows within so many edits cover enough."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows: ItemWindows = block.value
         for batch in batches:
             for part, values, offsets in parts(batch, "words"):
-                words = np.concatenate([values, np.zeros(1, np.uint64)])
-                at, doc = _window_starts(offsets, windows.width)
-                if not len(at):
-                    continue
-                near = windows.within_reach(words, at, edits)
-                at, doc = at[near], doc[near]
+                text, window, paid = _hits(windows, edits, values, offsets)
+                item, pos = windows.place[window], windows.pos[window]
+                order = np.lexsort((pos, item, text))
+                text, item, pos, equal = text[order], item[order], pos[order], paid[order] == 0
+                near = covered(text, item, pos, windows.width)
+                exact = covered(text[equal], item[equal], pos[equal], windows.width)
+                n_items = len(windows.items)
+                counts = np.zeros(len(near[0]), np.int64)
+                counts[np.searchsorted(near[0] * n_items + near[1], exact[0] * n_items + exact[1])] = exact[2]
+                sizes = windows.sizes[near[1]]
+                enough = np.flatnonzero(near[2] >= least * sizes)
                 ids = part.column("id").to_numpy(zero_copy_only=False)
-                found = [np.empty((3, 0), np.int64)]
-                for mine, theirs in windows.candidates(words, at):
-                    paid = edit_distance(words[at[mine][:, None] + np.arange(windows.width)], windows.words[theirs], edits)
-                    good = paid <= edits
-                    found.append(np.unique(np.stack([doc[mine[good]], theirs[good], paid[good]]), axis=1))
-                hits = np.unique(np.concatenate(found, axis=1), axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[hits[0]], pa.int64()), pa.array(windows.item[hits[1]], pa.int64()), pa.array(windows.pos[hits[1]], pa.int32()), pa.array(hits[2], pa.int32())],
-                    names=["doc_id", "item_id", "pos", "edits"],
-                )
+                columns = [pa.array(ids[near[0][enough]], pa.int64()), pa.array(windows.items[near[1][enough]], pa.int64()), pa.array((counts / sizes)[enough]), pa.array((near[2] / sizes)[enough])]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "coverage", "near_coverage"])
 
     return run
 
@@ -176,49 +218,46 @@ def _item_blocks(items: DataFrame, width: int, block: int) -> Iterator[tuple[np.
         yield np.concatenate(ids), np.concatenate(positions), np.concatenate(rows)
 
 
-def leaked_windows(
-    documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "passage",
-    width: int = 8, edits: int = EDITS, repetitions: int = REPETITIONS, samples: int = SAMPLES, block: int = BLOCK,
-) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, item_id, pos, edits) of the passages' windows that stand in documents with at most so many edits, (item_id, words) of the items).
-
-    Null ids, null and blank texts take no part; texts of fewer than ``width`` words have no window.
-    """
+def _searched(documents: DataFrame, items: DataFrame, search, shape: str, doc_id: str, doc_text: str, item_id: str, item_text: str, width: int, repetitions: int, samples: int, block: int) -> DataFrame:
+    """What ``search`` makes of the documents' words and each block of the items' windows."""
     chosen = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("text"))
     chosen = chosen.where(F.col("item_id").isNotNull() & not_blank(F.col("text"))).dropDuplicates(["item_id"])
     chosen = chosen.select("item_id", word_hashes(plain_words(F.col("text"))).alias("words"))
     rows = documents.select(F.col(doc_id).cast("bigint").alias("id"), F.col(doc_text).alias("text")).where(F.col("id").isNotNull() & not_blank(F.col("text")))
     rows = rows.select("id", word_hashes(plain_words(F.col("text"))).alias("words")).where(F.size("words") >= width)
     spark = documents.sparkSession
-    shape = "doc_id bigint, item_id bigint, pos int, edits int"
     found = spark.createDataFrame([], shape)
     for n, (ids, positions, words) in enumerate(_item_blocks(chosen, width, block)):
         windows = spark.sparkContext.broadcast(ItemWindows(ids, positions, words, list(range(1, repetitions + 1)), samples))
-        part = rows.mapInArrow(_matcher(windows, edits), shape)
+        part = rows.mapInArrow(search(windows), shape)
         found = part if n == 0 else found.unionByName(part)
-    return found, chosen
+    return found
+
+
+def leaked_windows(
+    documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "passage",
+    width: int = 8, edits: int = EDITS, repetitions: int = REPETITIONS, samples: int = SAMPLES, block: int = BLOCK,
+) -> DataFrame:
+    """(doc_id, item_id, pos, edits) of the passages' windows that stand in documents with at most so many edits.
+
+    Null ids, null and blank texts take no part; texts of fewer than ``width`` words have no window.
+    """
+    shape = "doc_id bigint, item_id bigint, pos int, edits int"
+    return _searched(documents, items, lambda w: _matcher(w, edits), shape, doc_id, doc_text, item_id, item_text, width, repetitions, samples, block)
 
 
-def leak_coverage(documents: DataFrame, items: DataFrame, *, least: float = 0.5, width: int = 8, **options) -> DataFrame:
+def leak_coverage(
+    documents: DataFrame, items: DataFrame, *, least: float = 0.5, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "passage",
+    width: int = 8, edits: int = EDITS, repetitions: int = REPETITIONS, samples: int = SAMPLES, block: int = BLOCK,
+) -> DataFrame:
     """(doc_id, item_id, coverage, near_coverage) where at least the share ``least`` of a passage's word positions is covered by windows of ``width`` words that
     the document has with at most ``edits`` edits (``near_coverage``); ``coverage`` is the share covered by equal ones.
 
-    A position counts once however often the document repeats it; rows that repeat an id count once; without items or documents there are no rows.
+    A position counts once however often the document repeats it; of rows that repeat a document's id the highest shares count; without items or documents there are no rows.
     """
-    found, chosen = leaked_windows(documents, items, width=width, **options)
-    # The windows' starts in order; each covers its width, or as far as the next one begins.
-    equal = F.array_sort(F.collect_set(F.when(F.col("edits") == 0, F.col("pos"))))
-    starts = found.groupBy("doc_id", "item_id").agg(equal.alias("equal"), F.array_sort(F.collect_set("pos")).alias("near"))
-
-    def covered(s: str) -> Column:
-        n = F.greatest(F.size(s) - 1, F.lit(0))
-        steps = F.zip_with(F.slice(s, F.lit(1), n), F.slice(s, F.lit(2), n), lambda x, y: F.least(y - x, F.lit(width)))
-        return F.when(F.size(s) > 0, F.aggregate(steps, F.lit(0), lambda x, y: x + y) + width).otherwise(0)
-
-    counts = starts.select("doc_id", "item_id", covered("equal").alias("equal"), covered("near").alias("near"))
-    sizes = chosen.select("item_id", F.size("words").alias("n"))
-    shares = counts.join(sizes, "item_id").select("doc_id", "item_id", (F.col("equal") / F.col("n")).alias("coverage"), (F.col("near") / F.col("n")).alias("near_coverage"))
-    return shares.where(F.col("near_coverage") >= least)
+    shape = "doc_id bigint, item_id bigint, coverage double, near_coverage double"
+    found = _searched(documents, items, lambda w: _coverer(w, edits, least), shape, doc_id, doc_text, item_id, item_text, width, repetitions, samples, block)
+    return found.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"), F.max("near_coverage").alias("near_coverage"))
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, *, least: float = 0.5, **options) -> DataFrame:

@@ -94,4 +94,38 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 MOST_COMMON_WORDS = 2000
 QUERIES = {"p3_found": p3_found, "p3_repaired": p3_repaired, "p1_found": p1_found, "p1_statistics": p1_statistics, "p4_found": p4_found, "p4_restored": p4_restored, "p7_inputs": p7_inputs, "p7_report": p7_report, "p9_found": p9_found, "p2_found": p2_found, "p6_found": p6_found, "p6_groups": p6_groups, "p8_found": p8_found, "p8_coverage": p8_coverage}
-ORACLES: dict[str, str] = {}
+
+BLANK = r"\s\x0B\x1C-\x1F\x{85}\p{Z}"
+
+
+def _words_sql(column: str) -> str:
+    """A text's words as TESTDATA.md has them."""
+    pieces = rf"regexp_split_to_array(lower({column}), '[{BLANK}]+')"
+    return rf"list_filter(list_transform({pieces}, lambda w: regexp_replace(w, '[^\p{{L}}\p{{N}}]', '', 'g')), lambda w: w <> '')"
+
+
+TEXTS = rf"""t AS (SELECT DISTINCT id, text FROM chunks WHERE id IS NOT NULL AND regexp_matches(text, '[^{BLANK}]')),
+    w AS (SELECT id, text, {_words_sql("text")} AS w FROM t),
+    k AS (SELECT id, CASE WHEN len(w) >= 3 THEN 'w' || array_to_string(w, ' ') ELSE 't' || text END AS key, w FROM w),
+    g AS (SELECT id, key, min(id) OVER (PARTITION BY key) AS first, count(*) OVER (PARTITION BY key) AS n, w FROM k),
+    s AS (SELECT DISTINCT id, array_to_string(w[i : i + 2], ' ') AS s FROM (SELECT id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM g WHERE id = first)),
+    z AS (SELECT id, count(*) AS z FROM s GROUP BY id),
+    l AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.id < b.id GROUP BY ALL),
+    linked AS (SELECT a, b FROM l JOIN z x ON x.id = a JOIN z y ON y.id = b WHERE c >= 0.5 * (x.z + y.z - c))"""
+ORACLES: dict[str, str] = {
+    "p2_found": """WITH v AS (SELECT chunk_id, min(embedding::DOUBLE[]) AS e FROM vec_chunks WHERE chunk_id IS NOT NULL AND len(embedding) = 384
+        AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY chunk_id),
+        u AS (SELECT chunk_id, e, sqrt(list_inner_product(e, e)) AS n FROM v),
+        d AS (SELECT a.chunk_id AS a, b.chunk_id AS b, round(list_inner_product(a.e, b.e) / (a.n * b.n), 6) AS s FROM u a, u b WHERE a.chunk_id <> b.chunk_id),
+        k AS (SELECT a, b FROM d QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 10)
+        SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM k""",
+    "p6_found": f"WITH {TEXTS} SELECT DISTINCT least(x.id, y.id) AS chunk_a, greatest(x.id, y.id) AS chunk_b FROM (SELECT a, b FROM linked UNION SELECT first, first FROM g) p JOIN g x ON x.first = p.a JOIN g y ON y.first = p.b WHERE x.id <> y.id",
+    "p6_groups": f"WITH {TEXTS}, q AS (SELECT a AS first FROM linked UNION ALL SELECT b FROM linked) SELECT id AS chunk_id, first AS class, n AS members, (SELECT count(*) FROM q WHERE q.first = g.first) AS links FROM g",
+    "p8_found": f"""WITH d AS (SELECT doc_id, {_words_sql("text")} AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+        i AS (SELECT DISTINCT item_id, {_words_sql("passage")} AS w FROM eval_items WHERE passage IS NOT NULL AND item_id IS NOT NULL),
+        dw AS (SELECT DISTINCT doc_id, array_to_string(w[s : s + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 7)) AS s FROM d)),
+        iw AS (SELECT item_id, s, array_to_string(w[s : s + 7], ' ') AS g FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 7)) AS s FROM i)),
+        m AS (SELECT DISTINCT doc_id, item_id, s FROM dw JOIN iw ON dw.g = iw.g),
+        c AS (SELECT doc_id, item_id, count(DISTINCT p) AS c FROM (SELECT doc_id, item_id, unnest(generate_series(s, s + 7)) AS p FROM m) GROUP BY ALL)
+        SELECT doc_id, c.item_id AS item_id FROM c JOIN i ON i.item_id = c.item_id WHERE c >= 0.5 * len(w)""",
+}

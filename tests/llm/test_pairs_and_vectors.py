@@ -231,8 +231,8 @@ def test_edited_windows_are_found(spark):
     items = spark.createDataFrame([(1, " ".join(words))], "item_id long, passage string")
     edited = words[:10] + ["other"] + words[11:]
     docs = spark.createDataFrame([(1, " ".join(edited))], "doc_id long, text string")
-    exact_hits = leaked_windows(docs, items, width=12, edits=0)[0].count()
-    near_hits = leaked_windows(docs, items, width=12, edits=2, repetitions=40, samples=4)[0].count()
+    exact_hits = leaked_windows(docs, items, width=12, edits=0).count()
+    near_hits = leaked_windows(docs, items, width=12, edits=2, repetitions=40, samples=4).count()
     assert exact_hits == 2 and near_hits > exact_hits
     a = np.array([[1, 2, 3, 4]], np.uint64)
     assert edit_distance(a, np.array([[1, 3, 4, 9]], np.uint64), 2).tolist() == [2]
@@ -253,7 +253,7 @@ def test_recall_of_edited_windows(spark):
         texts.append(copy)
     docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
     items = spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(passages)], "item_id long, passage string")
-    got = {(r.doc_id, r.item_id, r.pos, r.edits) for r in leaked_windows(docs, items, repetitions=8, samples=6)[0].collect()}
+    got = {(r.doc_id, r.item_id, r.pos, r.edits) for r in leaked_windows(docs, items, repetitions=8, samples=6).collect()}
     want = {}
     for d, t in enumerate(texts):
         for i, p in enumerate(passages):
