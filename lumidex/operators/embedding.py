@@ -70,6 +70,11 @@ class OnnxEmbedder:
         return (mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
+def chosen_embedder(*folders: str, dimensions: int = DIMENSIONS):
+    """The model in the first of the folders that holds one (the user's, then the one that comes with the program), else the hashing embedder."""
+    return next((OnnxEmbedder(f, dimensions) for f in folders if f and OnnxEmbedder.available(f)), None) or HashingEmbedder(dimensions)
+
+
 def embed_column(rows: DataFrame, text_col: str, embedder=None, out: str = "embedding") -> DataFrame:
     """rows plus the embedding of a text column, in Arrow batches."""
     embedder = embedder or HashingEmbedder()

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add, or_
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumidex.config import KEYWORD_HIGH, KEYWORD_LOW, KEYWORD_STEP, SNIPPET
 from lumidex.functions.text import FOLD_FROM, FOLD_TO, TOKEN, TOKEN_CHAR, fts_tokens, fts_tokens_of, query_words_of
-from lumidex.session import cut_lineage
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -21,15 +22,23 @@ def tokenised(chunks: DataFrame, id_col: str = "id", text_col: str = "text") ->
     return chunks.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("chunk_id"), fts_tokens(F.col(text_col)).alias("tokens"))
 
 
-def build_postings(chunks: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(term, chunk_id, tf). Term frequencies are counted within a chunk's row, so nothing is shuffled to count them."""
-    terms = tokenised(chunks, id_col, text_col).select("chunk_id", "tokens", F.explode(F.array_distinct("tokens")).alias("term"))
-    return terms.select("term", "chunk_id", F.size(F.filter("tokens", lambda t: t == F.col("term"))).alias("tf"))
+def build_postings(chunks: DataFrame, id_col: str = "id", text_col: str = "text", *more: str) -> DataFrame:
+    """(term, chunk_id, tf, positions, len, ...): the positions of each term in a chunk and the chunk's length in tokens.
+
+    Tokens are laid out by position and put together by term; all tokens of a chunk lie in one task, so that little is left to shuffle.
+    """
+    rows = chunks.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("chunk_id"), fts_tokens(F.col(text_col)).alias("tokens"), *more)
+    placed = rows.select("chunk_id", F.size("tokens").alias("len"), *more, F.posexplode("tokens").alias("position", "term"))
+    held = placed.groupBy("chunk_id", "term").agg(F.array_sort(F.collect_list("position")).alias("positions"), *[F.first(c).alias(c) for c in ("len", *more)])
+    return held.select("term", "chunk_id", F.size("positions").alias("tf"), "positions", "len", *more)
 
 
 def term_statistics(chunks: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(term, df, cf): chunks that hold a term and its occurrences."""
-    return build_postings(chunks, id_col, text_col).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    """(term, df, cf): chunks that hold a term and its occurrences, counted in one pass with partial sums before the shuffle."""
+    rows = tokenised(chunks, id_col, text_col)
+    one = lambda df, cf: lambda t: F.struct(t.alias("term"), F.lit(df).alias("df"), F.lit(cf).alias("cf"))
+    both = F.concat(F.transform(F.array_distinct("tokens"), one(1, 0)), F.transform("tokens", one(0, 1)))
+    return rows.select(F.explode(both).alias("x")).groupBy(F.col("x.term").alias("term")).agg(F.sum("x.df").alias("df"), F.sum("x.cf").alias("cf"))
 
 
 def corpus_statistics(chunks: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -61,20 +70,50 @@ def bm25(chunks: DataFrame, query: str, id_col: str = "id", text_col: str = "tex
     for i, phrase in enumerate(phrases):
         seek = rf"(?<!{TOKEN_CHAR})(?={gap.join(phrase)}(?!{TOKEN_CHAR}))"
         counts[f"tf{i}"] = F.when(F.col("_t").contains(phrase[0]), F.regexp_count("_t", F.lit(seek)).cast("double")).otherwise(0.0)
-    # Narrow rows, of which both the statistics and the hits are taken.
-    rows = cut_lineage(rows.select("chunk_id", F.regexp_count("_t", F.lit(TOKEN)).cast("double").alias("len"), *[c.alias(k) for k, c in counts.items()]))
-    totals = [F.sum(F.when(F.col(k) > 0, 1.0).otherwise(0.0)).alias(f"df_{k}") for k in counts]
+    # The statistics are one row over all chunks; the hits are only sought among chunks that hold a phrase's first token.
+    rows = rows.withColumn("len", F.regexp_count("_t", F.lit(TOKEN)).cast("double"))
+    totals = [F.sum(F.when(c > 0, 1.0).otherwise(0.0)).alias(f"df_{k}") for k, c in counts.items()]
     stats = rows.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avg"), *totals)
-    joined = rows.where(" OR ".join(f"{k} > 0" for k in counts)).crossJoin(F.broadcast(stats))  # one row
-    score = F.lit(0.0)
-    for k in counts:
-        idf = F.log((F.col("n") - F.col(f"df_{k}") + 0.5) / (F.col(f"df_{k}") + 0.5))
-        idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
-        tf = F.col(k)
-        score = score + idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg")))
+    some = reduce(or_, [F.col("_t").contains(p[0]) for p in phrases])
+    hits = rows.where(some).select("chunk_id", "len", *[c.alias(k) for k, c in counts.items()])
+    joined = hits.where(" OR ".join(f"{k} > 0" for k in counts)).crossJoin(F.broadcast(stats))  # one row
+    score = reduce(add, [_weight(F.col(k), F.col(f"df_{k}")) for k in counts])
     return joined.select("chunk_id", (-score).alias("rank"))
 
 
+def _weight(tf: Column, df: Column) -> Column:
+    """A phrase's part of a chunk's score, beside the columns n, len and avg."""
+    idf = F.log((F.col("n") - df + 0.5) / (df + 0.5))
+    return F.when(idf <= 0, LEAST_IDF).otherwise(idf) * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg")))
+
+
+def _moved(positions: str, by: int) -> Column:
+    return F.transform(positions, lambda p: p - by)
+
+
+def bm25_of_postings(postings: DataFrame, corpus: DataFrame, query: str) -> DataFrame:
+    """(chunk_id, rank) as ``bm25`` gives, from stored postings (term, chunk_id, positions, len) and one row (n_chunks, mean_length) of the corpus.
+
+    Only the rows of the query's terms are asked for; a phrase of several tokens keeps the chunks in which they stand one after another.
+    """
+    phrases = query_phrases(query)
+    if not phrases:
+        return postings.sparkSession.createDataFrame([], "chunk_id bigint, rank double")
+    parts = []
+    for n, phrase in enumerate(phrases):
+        rows = None
+        for at, term in enumerate(phrase):
+            own = postings.where(F.col("term") == term).select("chunk_id", "len", _moved("positions", at).alias("at"))
+            both = None if rows is None else rows.join(own.select("chunk_id", F.col("at").alias("also")), "chunk_id")
+            rows = own if both is None else both.select("chunk_id", "len", F.array_intersect("at", "also").alias("at"))
+        parts.append(rows.where(F.size("at") > 0).select("chunk_id", "len", F.lit(n).alias("phrase"), F.size("at").cast("double").alias("tf")))
+    hits = reduce(DataFrame.unionByName, parts)
+    df = hits.groupBy("phrase").agg(F.count("*").cast("double").alias("df"))  # a row for each phrase of the query
+    one = corpus.select(F.col("n_chunks").cast("double").alias("n"), F.col("mean_length").alias("avg"))
+    scored = hits.join(F.broadcast(df), "phrase").crossJoin(F.broadcast(one))
+    return scored.groupBy("chunk_id").agg((-F.sum(_weight(F.col("tf"), F.col("df")))).alias("rank"))
+
+
 def keyword_score(rank):
     """The score of a rank, between 0.5 and 0.85; a better (more negative) rank gives the lower one."""
     return F.round(F.least(F.lit(KEYWORD_HIGH), F.greatest(F.lit(KEYWORD_LOW), 1 + rank * KEYWORD_STEP)), 4)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumidex.functions.text import file_name, not_blank
+from lumidex.session import cut_lineage
 
 
 def current_files(files: DataFrame) -> DataFrame:
@@ -45,32 +46,32 @@ def detect_changes(stored: DataFrame, found: DataFrame, revive_orphans: bool = F
 
 def upsert_files(stored: DataFrame, found: DataFrame, next_id: int | None = None) -> DataFrame:
     """The files relation after a scan: known paths keep their id and take hash, file name and status ``indexed``; new ones get ids
-    above the stored ones in the order of their paths; those not found stay as they are.
-
-    New ids are numbered within each path's prefix, so that no task sorts all paths.
-    """
+    above the stored ones in the order of their paths; those not found stay as they are."""
     keep = stored.join(found.select("path"), "path", "left_anti").select("id", "path", "hash", "filename", "status")
     known = stored.select("id", "path").join(found.select("path", "hash"), "path")
     known = known.select("id", "path", "hash", file_name(F.col("path")).alias("filename"), F.lit("indexed").alias("status"))
     new = found.join(stored.select("path"), "path", "left_anti").select("path", "hash").distinct()
     offset = next_id - 1 if next_id is not None else (stored.agg(F.max("id")).first()[0] or 0)
-    new = number_rows(new, "path", "id", offset)
+    new = number_rows(new, ["path"], "id", offset)
     new = new.select("id", "path", "hash", file_name(F.col("path")).alias("filename"), F.lit("indexed").alias("status"))
     return keep.unionByName(known).unionByName(new)
 
 
-def number_rows(rows: DataFrame, order: str, out: str, offset: int = 0, prefix: int = 24) -> DataFrame:
-    """rows with consecutive numbers from offset + 1 in the order of a column of different strings.
+def number_rows(rows: DataFrame, order: list[str], out: str, offset: int = 0) -> DataFrame:
+    """rows with consecutive numbers from offset + 1 in the order of columns whose values together differ.
 
-    Rows are numbered within their prefix; the numbers before each prefix come from a window over the prefixes alone.
+    The rows are cut into ranges and sorted within them, and kept so; each range's rows are counted, and what stands before a range is added to the
+    numbers within it. Only the counts, one a range, meet in one place.
     """
-    marked = rows.withColumn("_prefix", F.substring(order, 1, prefix))
-    sizes = marked.groupBy("_prefix").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("_prefix", before.alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_prefix").orderBy(order))
-    numbered = marked.join(starts, "_prefix").withColumn(out, (within + F.col("_before") + offset).cast("bigint"))
-    return numbered.drop("_prefix", "_before")
+    ranges = cut_lineage(rows.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("_m", F.monotonically_increasing_id())
+    part = F.shiftright("_m", 33).cast("int")
+    counts = sorted((r.p, r.n) for r in ranges.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    starts, total = [], offset
+    for p, n in counts:
+        starts += [F.lit(p), F.lit(total).cast("bigint")]
+        total += n
+    before = F.create_map(*starts)[part] if starts else F.lit(offset)
+    return ranges.withColumn(out, (before + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("bigint")).drop("_m")
 
 
 def delete_cascade(files: DataFrame, chunks: DataFrame, vectors: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:

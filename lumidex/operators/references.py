@@ -5,9 +5,9 @@ a key it does not hold is certainly an orphan. Only rows whose key may be in the
 exactly with the parents, to find the filter's false positives and the parents that are deleted
 or arrive after the row.
 
-The filter is made of blocks of 32,768 bits (8 KB as 1,024 words); there are never more than
-``max_blocks`` of them, so what is broadcast is bounded whatever the number of keys. With more
-keys than the filter is sized for it lets more rows through to the exact join: slower, never wrong.
+The filter is made of blocks of 32,768 bits (8 KB as 1,024 words), as many as its keys need; there are never more than
+``max_blocks`` of them, so what is broadcast is bounded whatever the number of keys. Of 100 million keys it still lets only one in
+twelve orphans through to the exact join; with more keys more of them: slower, never wrong.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 BLOCK_BITS = 32768
 BITS_PER_KEY = 12
 HASHES = 5
-MAX_BLOCKS = 1024  # 8 MB
+MAX_BLOCKS = 16384  # 64 MB of bits, which a broadcast holds in 128 MB: 45 million keys at 12 bits, 100 million at 5
 
 
 def _positions(key: Column) -> list[Column]:

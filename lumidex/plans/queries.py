@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumidex.config import CUTOFF, FILLERS
-from lumidex.functions.text import FOLD_FROM, FOLD_TO, clean_query, query_words
+from lumidex.functions.text import FOLD_FROM, FOLD_TO, clean_query, query_words, query_words_of
 from lumidex.functions.vectors import norm, usable
 from lumidex.operators import fulltext, indexing, knn, maintenance, presentation
 from lumidex.operators.chunking import chunk
-from lumidex.operators.embedding import embed_column
+from lumidex.operators.embedding import HashingEmbedder, embed_column
 from lumidex.operators.filename import all_words_matches, any_word_matches, substring_matches
-from lumidex.plans.hybrid import filename_tiers, hybrid_search
+from lumidex.plans.hybrid import filename_tiers, hybrid_search, text_search
 from lumidex.session import spread_out, table
 from lumidex.sources.files import is_excluded, is_supported
 from lumidex.streaming import events as ev
 
-QUERY, NAME_QUERY, PHRASE = "heavy terminal", "scan report", "without any delay"
+QUERY, NAME_QUERY, PHRASE = "heavy terminal", "final pdf", "without any delay"
 SUPPORTED_SQL = "lower(regexp_extract({0}, '(\\.[^./]+)$', 1)) IN ('.pdf', '.docx', '.txt', '.md')"
 
 
@@ -79,7 +79,7 @@ def _any_sql(words: list[str], k: int) -> str:
 
 
 def _tiers_sql(query: str, k: int) -> str:
-    words = query.split()
+    words = query_words_of(query)
     all_words = " AND ".join(f"{ASCII} LIKE '%{w}%'" for w in words) if len(words) > 1 else "false"
     return f"""t1 AS (SELECT 1 AS tier, row_number() OVER (ORDER BY id) AS pos, * FROM (SELECT id, path, filename, 1.0::DOUBLE AS score FROM f WHERE {LIVE} AND {ASCII} LIKE '%{query}%' ORDER BY id LIMIT {k})
       UNION ALL SELECT 2, row_number() OVER (ORDER BY id), * FROM (SELECT id, path, filename, 0.95::DOUBLE AS score FROM f WHERE {LIVE} AND {all_words} ORDER BY id LIMIT {k})
@@ -87,8 +87,9 @@ def _tiers_sql(query: str, k: int) -> str:
     names AS (SELECT tier, pos, id, path, filename, score FROM t1 QUALIFY row_number() OVER (PARTITION BY path ORDER BY tier, pos) = 1 ORDER BY tier, pos LIMIT {k})"""
 
 
-def _hybrid_sql(query: str, k: int) -> str:
-    return f"""{F_NOW}, {C}, {V}, {_bm25_sql(query.split())}, {_tiers_sql(query, k)},
+def _hybrid_sql(query: str, k: int, vector: str = "") -> str:
+    v = f"{V.partition(', q AS')[0]}, q AS (SELECT {vector} AS q)" if vector else V
+    return f"""{F_NOW}, {C}, {v}, {_bm25_sql(query_words_of(query))}, {_tiers_sql(query, k)},
     n1 AS (SELECT tier, pos, path, filename, score, (SELECT min(c.id) FROM c WHERE c.file_id = names.id AND c.chunk_index = 0) AS chunk_id FROM names),
     r AS (SELECT bm.chunk_id, rank, c.file_id, f.path, f.filename FROM bm JOIN c ON c.id = bm.chunk_id JOIN f ON f.id = c.file_id WHERE f.status = 'indexed' ORDER BY rank, bm.chunk_id LIMIT {3 * k}),
     r1 AS (SELECT *, row_number() OVER (ORDER BY rank, chunk_id) AS pos FROM r),
@@ -105,7 +106,7 @@ def _hybrid_sql(query: str, k: int) -> str:
            FROM found LEFT JOIN c ON c.id = found.chunk_id)"""
 
 
-HYBRID_QUERY, K = "heavy terminal", 40
+HYBRID_QUERY, TEXT_QUERY, K = "heavy terminal", "show the heavy terminal", 40
 
 
 def _hybrid(s: SparkSession, d: str) -> DataFrame:
@@ -146,10 +147,26 @@ def _bm25_rows(s, d):
 
 
 def _relocate(s, d):
-    """Orphaned files and the indexed ones of the same content; names are left out since copies have others."""
+    """Orphaned files, found again below another root by their names and contents."""
     now = files(s, d).where("hash <> ''")
-    missing = now.where("status = 'orphaned'").select("id", "path", F.lit("x").alias("filename"), "hash")
-    return maintenance.relocate(missing, now.where("status = 'indexed'").select("path", F.lit("x").alias("filename"), "hash"))
+    there = now.select(F.concat(F.lit("/restored"), "path").alias("path"), "filename", "hash")
+    return maintenance.relocate(now.where("status = 'orphaned'").select("id", "path", "filename", "hash"), there)
+
+
+def _modified_content(s, d):
+    before, now = _snapshots(s, d)
+    stored = before.groupBy("path").agg(F.min("hash").alias("hash"))
+    return ev.modified_content(_events(s, d), stored, now.where("status = 'indexed'").groupBy("path").agg(F.max("hash").alias("hash")))
+
+
+def _bm25_of_postings(s, d):
+    rows = chunks(s, d)
+    return fulltext.bm25_of_postings(fulltext.build_postings(rows), fulltext.corpus_statistics(rows), QUERY).withColumn("rank", F.round("rank", 6))
+
+
+def _nearest_to_each(s, d):
+    rows = vectors(s, d)
+    return knn.nearest_to_each(rows, rows.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query")), 10)
 
 
 def _events(s, d):
@@ -180,9 +197,11 @@ QUERIES = {
     "bm25_topk": lambda s, d: _bm25_rows(s, d).orderBy("rank", "chunk_id").limit(50),
     "bm25_best_chunk_per_file": lambda s, d: fulltext.best_per_file(_bm25_rows(s, d)),
     "bm25_score_band": lambda s, d: _bm25_rows(s, d).select("chunk_id", fulltext.keyword_score(F.col("rank")).alias("score")),
+    "bm25_of_postings": _bm25_of_postings,
     "phrase_match": lambda s, d: fulltext.phrase_match(chunks(s, d), PHRASE),
     "snippets": lambda s, d: fulltext.with_snippets(_bm25_rows(s, d).orderBy("rank", "chunk_id").limit(50).join(chunks(s, d).select(F.col("id").alias("chunk_id"), "text"), "chunk_id"), QUERY).select("chunk_id", "snippet"),
     "knn_l2": lambda s, d: knn.nearest(vectors(s, d), query_vector(s, d), 25),
+    "knn_l2_of_many": _nearest_to_each,
     "knn_cosine": lambda s, d: knn.nearest(vectors(s, d), query_vector(s, d), 25, metric="cosine"),
     "knn_best_per_file": lambda s, d: (
         knn.nearest(vectors(s, d), query_vector(s, d), 100).join(chunks(s, d).select(F.col("id").alias("chunk_id"), "file_id"), "chunk_id").where("file_id is not null")
@@ -193,6 +212,7 @@ QUERIES = {
         knn.mean_pool(vectors(s, d).join(chunks(s, d).select(F.col("id").alias("chunk_id"), "file_id"), "chunk_id").where("file_id is not null"), "file_id").withColumn("value", F.round("value", 6))
     ),
     "hybrid_search": _hybrid,
+    "text_search": lambda s, d: text_search(files(s, d), chunks(s, d), vectors(s, d), TEXT_QUERY, top_k=K),
     "cutoff_and_ranks": lambda s, d: presentation.presented(presentation.cut(_hybrid(s, d), ["tier", "pos"]), ["tier", "pos"]).select("rank", "path", "score", "alpha", "subtitle_alpha", "badge", "subtitle"),
     "relocate_by_hash": _relocate,
     "mark_orphans": lambda s, d: maintenance.mark_orphans(files(s, d), ev.fold_events(_events(s, d)).where("status = 'indexed'")).select("id", "path", "status"),
@@ -200,6 +220,7 @@ QUERIES = {
     "events_fold": lambda s, d: ev.fold_events(_events(s, d)).select("path", "status", "event_id"),
     "events_stream": lambda s, d: ev.streamed_state(s, f"{d}/fs_events.parquet").select("path", "status", "event_id"),
     "events_modified": lambda s, d: ev.changed_modifications(_events(s, d)),
+    "events_modified_content": _modified_content,
     "events_debounced": lambda s, d: ev.debounce(_events(s, d).where("src_path is not null").select("event_id", "src_path", "event_at").distinct(), "src_path", "event_at", "event_id", "6 HOURS").select("event_id", "src_path"),
     "events_latest": lambda s, d: ev.latest_generation(_events(s, d).where("src_path is not null"), "src_path", "event_at", "event_id").select("src_path", "event_id"),
     "embed_documents": lambda s, d: embed_column(chunk(documents(s, d), "doc_id", "text"), "text").select("doc_id", "chunk_index", "embedding"),
@@ -211,6 +232,8 @@ x AS (SELECT src_path AS path, CASE WHEN kind IN ('created', 'modified') THEN 'i
  UNION ALL SELECT dest_path, 'indexed', event_at, event_id FROM e WHERE kind = 'moved' AND {SUPPORTED_SQL.format('dest_path')}),
 state AS (SELECT path, max(struct_pack(event_at := event_at, event_id := event_id, status := status)) AS s FROM x GROUP BY path)"""
 FOLD_SQL = f"WITH {EFFECTS} SELECT path, s.status AS status, s.event_id AS event_id FROM state"
+VECTOR = str(HashingEmbedder().embed([" ".join(query_words_of(TEXT_QUERY))])[0].tolist()) + "::FLOAT[]::DOUBLE[]"
+BEFORE = f"b0 AS (SELECT id, s.path AS path, lower(s.hash) AS hash FROM ({F_FIRST.partition(' FROM (')[2].rpartition(')')[0]} WHERE s.indexed_at < TIMESTAMP '2025-01-01')"
 BEST = "SELECT file_id, s.chunk_id AS chunk_id, s.rank AS rank FROM (SELECT file_id, min(struct_pack(rank := rank, chunk_id := chunk_id)) AS s FROM bm JOIN c ON c.id = bm.chunk_id GROUP BY file_id)"
 
 ORACLES = {
@@ -245,22 +268,26 @@ ORACLES = {
     "bm25_score_band": f"WITH {C}, {BM25} SELECT chunk_id, round(least(0.85, greatest(0.5, 1 + rank * 0.05)), 4) AS score FROM bm",
     "phrase_match": f"WITH {C}, {TOK} SELECT DISTINCT chunk_id FROM tok WHERE contains(' ' || array_to_string(t, ' ') || ' ', ' {PHRASE} ')",
     "knn_l2": f"WITH {V} SELECT chunk_id, round(list_distance(embedding, q), 6) AS distance FROM v, q ORDER BY distance, chunk_id LIMIT 25",
+    "knn_l2_of_many": f"WITH {V}, a AS (SELECT chunk_id AS query_id, embedding AS e FROM v WHERE chunk_id % 50 = 0), d AS (SELECT query_id, chunk_id, round(list_distance(embedding, e), 6) AS distance FROM v, a) SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) <= 10",
+    "bm25_of_postings": f"WITH {C}, {BM25} SELECT chunk_id, rank FROM bm",
     "knn_cosine": f"WITH {V} SELECT chunk_id, round(1 - list_inner_product(embedding, q) / greatest(sqrt(list_inner_product(embedding, embedding)) * sqrt(list_inner_product(q, q)), 1e-12), 6) AS distance FROM v, q ORDER BY distance, chunk_id LIMIT 25",
     "knn_best_per_file": f"WITH {C}, {V}, n AS (SELECT chunk_id, round(list_distance(embedding, q), 6) AS distance FROM v, q ORDER BY distance, chunk_id LIMIT 100), b AS (SELECT file_id, min(struct_pack(distance := distance, chunk_id := chunk_id)) AS s FROM n JOIN c ON c.id = n.chunk_id WHERE file_id IS NOT NULL GROUP BY file_id) SELECT file_id, s.chunk_id AS chunk_id, round(1 - s.distance, 4) AS score FROM b",
     "vector_norms": f"WITH {V} SELECT chunk_id, round(sqrt(list_inner_product(embedding, embedding)), 6) AS norm FROM v",
     "mean_pool_by_file": f"WITH {C}, {V}, x AS (SELECT file_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS position FROM v JOIN c ON c.id = v.chunk_id WHERE file_id IS NOT NULL) SELECT file_id, position::INT AS position, round(avg(e), 6) AS value FROM x GROUP BY ALL",
     "hybrid_search": f"WITH {_hybrid_sql(HYBRID_QUERY, K)} SELECT * FROM shown",
+    "text_search": f"WITH {_hybrid_sql(TEXT_QUERY, K, VECTOR)} SELECT * FROM shown",
     "cutoff_and_ranks": f"""WITH {_hybrid_sql(HYBRID_QUERY, K)}, a AS (SELECT *, first_value(score) OVER (ORDER BY tier, pos) AS fs FROM shown),
         b AS (SELECT *, row_number() OVER (ORDER BY tier, pos) - 1 AS rank, count(*) OVER () AS n FROM a WHERE fs < {CUTOFF} OR score >= {CUTOFF}),
         g AS (SELECT *, CASE WHEN n <= 1 THEN 232 ELSE trunc(232 - rank / (n - 1)::DOUBLE * 102)::INT END AS alpha, lower(regexp_extract(path, '(\\.[^./]+)$', 1)) AS ext FROM b)
         SELECT rank::INT AS rank, path, score, alpha, greatest(80, alpha - 100) AS subtitle_alpha, CASE WHEN ext = '.pdf' THEN 'PDF' WHEN ext IN ('.docx', '.doc') THEN 'DOC' WHEN ext = '.txt' THEN 'TXT' WHEN ext = '.md' THEN 'MD' ELSE 'FILE' END AS badge,
         CASE WHEN snippet <> '' THEN substring(snippet, 1, 95) ELSE string_split(path, '/')[-2] END AS subtitle FROM g""",
-    "relocate_by_hash": f"WITH {F_NOW}, m AS (SELECT m.id, m.path AS old_path, min(c.path) AS path FROM f m JOIN f c ON m.hash = c.hash AND m.path <> c.path WHERE m.hash <> '' AND m.status = 'orphaned' AND c.status = 'indexed' GROUP BY ALL) SELECT s.id AS id, s.old_path AS old_path, path FROM (SELECT path, min(struct_pack(id := id, old_path := old_path)) AS s FROM m GROUP BY path)",
+    "relocate_by_hash": f"WITH {F_NOW}, m AS (SELECT m.id, m.path AS old_path, min('/restored' || c.path) AS path FROM f m JOIN f c ON m.hash = c.hash AND m.filename = c.filename WHERE m.hash <> '' AND m.status = 'orphaned' GROUP BY ALL) SELECT s.id AS id, s.old_path AS old_path, path FROM (SELECT path, min(struct_pack(id := id, old_path := old_path)) AS s FROM m GROUP BY path)",
     "mark_orphans": f"WITH {F_NOW}, {EFFECTS} SELECT id, f.path, CASE WHEN f.path IN (SELECT path FROM state WHERE s.status = 'indexed') THEN f.status ELSE 'orphaned' END AS status FROM f",
     "live_path_filter": f"WITH {F_NOW}, {EFFECTS} SELECT id, f.path FROM f WHERE f.path IN (SELECT path FROM state WHERE s.status = 'indexed')",
     "events_fold": FOLD_SQL,
     "events_stream": FOLD_SQL,
     "events_modified": f"WITH m AS (SELECT DISTINCT * FROM fs_events WHERE lower(trim(kind)) = 'modified' AND NOT coalesce(is_directory, false) AND {SUPPORTED_SQL.format('src_path')}), b AS (SELECT *, lag(event_at) OVER (PARTITION BY src_path ORDER BY event_at, event_id) AS b FROM m) SELECT event_id, src_path FROM b WHERE b IS NULL OR event_at >= b + INTERVAL 1 SECOND",
+    "events_modified_content": f"WITH {F_NOW}, {BEFORE}, b AS (SELECT path, min(hash) AS hash FROM b0 GROUP BY path), n AS (SELECT path, max(hash) AS hash FROM f WHERE status = 'indexed' GROUP BY path HAVING max(hash) <> '') SELECT n.path, n.hash FROM n LEFT JOIN b ON b.path = n.path WHERE (b.hash IS NULL OR b.hash <> n.hash) AND n.path IN (SELECT src_path FROM fs_events WHERE lower(trim(kind)) = 'modified' AND NOT coalesce(is_directory, false) AND {SUPPORTED_SQL.format('src_path')})",
     "events_debounced": "WITH m AS (SELECT DISTINCT event_id, src_path, event_at FROM fs_events WHERE src_path IS NOT NULL), b AS (SELECT *, lead(event_at) OVER (PARTITION BY src_path ORDER BY event_at, event_id) AS a FROM m) SELECT event_id, src_path FROM b WHERE a IS NULL OR a >= event_at + INTERVAL 6 HOUR",
     "events_latest": "SELECT src_path, s.event_id AS event_id FROM (SELECT src_path, max(struct_pack(event_at := event_at, event_id := event_id)) AS s FROM fs_events WHERE src_path IS NOT NULL GROUP BY src_path)",
 }

@@ -24,14 +24,16 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A cluster names it in spark.checkpoint.dir; only where
-    that is unset (tests on one machine) a temporary folder is taken."""
+    """The folder all executors share. A cluster names it in spark.checkpoint.dir; a session on one machine (``local[...]``) may
+    take a temporary folder instead, any other one may not."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     have = spark.sparkContext.getCheckpointDir()
     if have:
         return have
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("a session on a cluster must name a folder that all executors share in spark.checkpoint.dir")
     made = tempfile.mkdtemp(prefix="spark-checkpoint-")
     spark.sparkContext.setCheckpointDir(made)
     return made

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import itertools
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -30,12 +32,25 @@ def content_hash(content: Column) -> Column:
 
 def scan_folder(spark: SparkSession, folder: str, excluded: tuple[str, ...] = EXCLUDED) -> DataFrame:
     """(path, filename, hash, content) of the supported files below a folder."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return _scanned(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder), excluded)
+
+
+def _scanned(rows: DataFrame, excluded: tuple[str, ...]) -> DataFrame:
     path = F.regexp_replace("path", "^file:/*", "/")
     rows = rows.select(path.alias("path"), "content").where(is_supported(F.col("path")) & ~is_excluded(F.col("path"), excluded))
     return rows.select("path", file_name(F.col("path")).alias("filename"), content_hash(F.col("content")).alias("hash"), "content")
 
 
+def scan_paths(spark: SparkSession, folder: str, paths: DataFrame, block: int = 10_000, excluded: tuple[str, ...] = EXCLUDED) -> Iterator[DataFrame]:
+    """``scan_folder`` of those files alone whose path is in ``paths``, in blocks of files whose names fit the driver. The folder is only listed;
+    no content but that of the chosen files is read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    there = listed.select("path", F.regexp_replace("path", "^file:/*", "/").alias("p")).join(paths.select(F.col("path").alias("p")).distinct(), "p", "left_semi")
+    names = (re.sub(r"([\\*?\[\]{}])", r"\\\1", r.path) for r in there.select("path").toLocalIterator())
+    while some := list(itertools.islice(names, block)):
+        yield _scanned(spark.read.format("binaryFile").load(some), excluded)
+
+
 def plain_text(content: Column) -> Column:
     """UTF-8, or Latin-1 where that is not valid; a byte order mark stays."""
     return F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "ISO-8859-1"))
@@ -50,22 +65,24 @@ def docx_text(content: bytes) -> str:
     return "\n".join(p for p in paragraphs if p.strip())
 
 
+def ocr_text(image: bytes) -> str:
+    import pytesseract
+    from PIL import Image
+
+    return pytesseract.image_to_string(Image.open(io.BytesIO(image))).strip()
+
+
 def pdf_text(content: bytes) -> str:
-    """The pages' text in the order of the pages; blank pages are read by OCR where that is installed."""
+    """The pages' text in the order of the pages; blank pages are read by OCR where that works, a page that cannot be read is left out."""
     import fitz
 
     pages = []
     with fitz.open(stream=content, filetype="pdf") as doc:
         for page in doc:
-            text = page.get_text().strip()
-            if not text:
-                try:
-                    import pytesseract
-                    from PIL import Image
-
-                    text = pytesseract.image_to_string(Image.open(io.BytesIO(page.get_pixmap(dpi=150).tobytes("png")))).strip()
-                except ImportError:
-                    text = ""
+            try:
+                text = page.get_text().strip() or ocr_text(page.get_pixmap(dpi=150).tobytes("png"))
+            except Exception:  # no OCR here, or it fails: the other pages still count
+                text = ""
             if text:
                 pages.append(text)
     return "\n".join(pages)

@@ -74,6 +74,17 @@ def changed_modifications(events: DataFrame) -> DataFrame:
     return rows.withColumn("_b", before).where(F.col("_b").isNull() | (F.col("event_at") >= F.col("_b") + F.expr("INTERVAL 1 SECOND"))).select("event_id", "src_path")
 
 
+def modified_content(events: DataFrame, stored: DataFrame, found: DataFrame) -> DataFrame:
+    """(path, hash) of the files with a modification whose content is another than the stored one, or was not stored: those that are to be indexed again.
+
+    ``stored`` and ``found`` (path, hash) have one row a path. A modification that leaves the content as it was, or of a file that cannot be read, changes nothing.
+    """
+    rows = events.where((F.lower(F.trim("kind")) == "modified") & ~F.coalesce("is_directory", F.lit(False)) & is_supported(F.col("src_path")))
+    now = found.where(F.coalesce("hash", F.lit("")) != "").select("path", "hash").join(rows.select(F.col("src_path").alias("path")).distinct(), "path", "left_semi")
+    old = stored.select("path", F.col("hash").alias("_old"))
+    return now.join(old, "path", "left").where(F.col("_old").isNull() | (F.col("_old") != F.col("hash"))).select("path", "hash")
+
+
 def debounce(events: DataFrame, key: str, time: str, order: str, gap: str) -> DataFrame:
     """Of a key's events, those that no other follows within the gap: the trailing edge of a debounce."""
     w = Window.partitionBy(key).orderBy(time, order)

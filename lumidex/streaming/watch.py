@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumidex.functions.text import file_name
 from lumidex.session import cut_lineage
-from lumidex.sources.files import extract_text, is_supported, scan_folder
+from lumidex.sources.files import extract_text, is_supported, scan_paths
 from lumidex.sources.store import IndexStore
 from lumidex.streaming.events import fold_events
 
@@ -38,11 +40,12 @@ def follow(paths: DataFrame, moved: DataFrame, most: int = 100) -> DataFrame:
     raise ValueError(f"a path moved more than {most} times in one batch")
 
 
-def apply_events(store: IndexStore, events: DataFrame, found: DataFrame | None = None) -> None:
+def apply_events(store: IndexStore, events: DataFrame, load: Callable[[DataFrame], Iterable[DataFrame]] | None = None, embedder=None) -> None:
     """Moves, then deletions, then new content of created and modified files, each as in the folded events.
 
     A moved file keeps its id and is indexed under its new path; where another file has that path already, it stays as it was. Deleted files are
-    orphaned and keep their chunks. ``found`` (path, hash, text) is what now is at the paths; of it only the touched paths are indexed.
+    orphaned and keep their chunks. ``load`` gives what now is at the touched paths (path), as relations (path, hash, text); nothing else is read. Written are
+    the rows of files that changed.
     """
     files = store.table("files")
     state = cut_lineage(fold_events(events))
@@ -51,23 +54,24 @@ def apply_events(store: IndexStore, events: DataFrame, found: DataFrame | None =
     taken = files.select(F.col("path").alias("now")).join(gone.select(F.col("path").alias("now")), "now", "left_anti")
     free = gone.join(taken, "now", "left_anti").groupBy("now").agg(F.min("path").alias("path"))
     placed = files.join(free, "path", "left")
-    placed = placed.select("id", F.coalesce("now", "path").alias("path"), "hash", F.when(F.col("now").isNotNull(), file_name(F.col("now"))).otherwise(F.col("filename")).alias("filename"), F.when(F.col("now").isNotNull(), "indexed").otherwise(F.col("status")).alias("status"))
+    placed = placed.select("id", F.coalesce("now", "path").alias("path"), "hash", F.when(F.col("now").isNotNull(), file_name(F.col("now"))).otherwise(F.col("filename")).alias("filename"), F.when(F.col("now").isNotNull(), "indexed").otherwise(F.col("status")).alias("status"), F.col("now").isNotNull().alias("_changed"))
     dead = state.where("status = 'orphaned'").select("path", F.lit(True).alias("_dead"))
-    files = placed.join(dead, "path", "left").withColumn("status", F.when(F.col("_dead"), "orphaned").otherwise(F.col("status"))).drop("_dead")
-    store.commit({"files": files})
-    if found is not None:
-        touched = state.where("status = 'indexed'").select("path")
-        store.index(found.join(touched, "path", "left_semi"))
+    placed = placed.join(dead, "path", "left").where("_changed or _dead").withColumn("status", F.when(F.col("_dead"), "orphaned").otherwise(F.col("status")))
+    store.put_files(placed.drop("_dead", "_changed"))
+    if load is not None:
+        for found in load(state.where("status = 'indexed'").select("path")):
+            store.index(found, embedder)
 
 
 def watch(store: IndexStore, events_folder: str, documents_folder: str, checkpoint: str, schema=None, embedder=None):
-    """A running query over the event files there are: each batch changes the index in one or two commits. A batch that is run again finds its
-    moves made and its content unchanged."""
+    """A running query over the event files there are: each batch changes the index in a few commits, reading the touched files alone. A batch that is run again
+    finds its moves made and its content unchanged."""
     spark = store.spark
     schema = schema or spark.read.parquet(events_folder).schema
-    stream = spark.readStream.schema(schema).parquet(events_folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(events_folder)
 
     def write(batch: DataFrame, _: int) -> None:
-        apply_events(IndexStore(batch.sparkSession, store.folder), batch, extract_text(scan_folder(batch.sparkSession, documents_folder)))
+        own = batch.sparkSession
+        apply_events(IndexStore(own, store.folder), batch, lambda touched: map(extract_text, scan_paths(own, documents_folder, touched)), embedder)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

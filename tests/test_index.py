@@ -1,14 +1,18 @@
 import io
+import sys
+import types
 import zipfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumidex.config import EngineConfig
-from lumidex.operators import indexing, knn, maintenance, presentation
-from lumidex.operators.embedding import HashingEmbedder, OnnxEmbedder, embed_column
+from lumidex.operators import fulltext, indexing, knn, maintenance, presentation
+from lumidex.operators.embedding import HashingEmbedder, OnnxEmbedder, chosen_embedder, embed_column
 from lumidex.plans.hybrid import hybrid_search
-from lumidex.sources.files import docx_text, extract_text, scan_folder
+from lumidex.sources.files import docx_text, extract_text, pdf_text, scan_folder, scan_paths
+from lumidex.session import ensure_checkpoint_dir
 from lumidex.sources.store import IndexStore
 
 
@@ -70,6 +74,90 @@ def test_store_life(spark, tmp_path):
     assert IndexStore.create(spark, str(tmp_path / "ix")).table("files").count() == 3
 
 
+def test_stored_index_is_searched(spark, tmp_path):
+    store = IndexStore.create(spark, str(tmp_path / "ix"))
+    texts = {"/d/astro.txt": "planets and stars in space, far-away space", "/d/cook.txt": "boil pasta with salt", "/d/far.md": "far away galaxies; the far side"}
+    store.index(found(spark, [(p, p, t) for p, t in texts.items()]))
+    store.index(found(spark, [("/d/cook.txt", "9", "salt the space soup"), ("/d/new.txt", "4", "a far-away star")]))
+    for query in ("space", "far-away space", "salt salt", 'a "b"', "nothing"):
+        want = sorted((r.chunk_id, round(r.rank, 9)) for r in fulltext.bm25(store.table("chunks"), query).collect())
+        assert sorted((r.chunk_id, round(r.rank, 9)) for r in store.bm25(query).collect()) == want
+    assert store.bm25("space").count() == 2
+    got = store.search("show the far-away galaxies", 3).orderBy("tier", "pos").collect()
+    assert got[0].path == "/d/far.md" and len({r.path for r in got}) == len(got) == 3
+    before = {name: sorted(map(str, store.table(name).collect())) for name in ("files", "chunks", "vec_chunks", "postings", "lengths")}
+    store.compact()
+    assert {name: sorted(map(str, store.table(name).collect())) for name in before} == before and len(store._log()) == 1
+    # A reader that lists the log before a commit sees the state before it.
+    log = store._log()
+    store.reset_hashes()
+    assert {r.hash for r in store.table("files").collect()} == {""}
+    store._log = lambda: log
+    assert "" not in {r.hash for r in store.table("files").collect()}
+
+
+def test_numbers_in_order(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("a"), F.lit("x").alias("b")).repartition(7)
+    got = {r.a: r.n for r in indexing.number_rows(rows, ["a", "b"], "n", 10).collect()}
+    assert got == {i: 11 + i for i in range(1000)}
+    assert indexing.number_rows(rows.limit(0), ["a"], "n").count() == 0
+
+
+def test_only_chosen_paths_are_read(spark, tmp_path):
+    for name in ("a.txt", "b [x]{1}*?.txt", "c.txt", "d.png"):
+        (tmp_path / name).write_text(name)
+    asked = spark.createDataFrame([(f"{tmp_path}/{n}",) for n in ("a.txt", "b [x]{1}*?.txt", "gone.txt", "d.png")], "path string")
+    got = [r.filename for part in scan_paths(spark, str(tmp_path), asked, block=1) for r in part.collect()]
+    assert sorted(got) == ["a.txt", "b [x]{1}*?.txt"]
+
+
+def test_pages_that_fail_are_left_out(monkeypatch):
+    class Page:
+        def __init__(self, text):
+            self.text = text
+
+        def get_text(self):
+            if self.text is None:
+                raise RuntimeError("broken page")
+            return self.text
+
+        def get_pixmap(self, dpi):
+            raise RuntimeError("no image")
+
+    class Book(list):
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            pass
+
+    fake = types.ModuleType("fitz")
+    fake.open = lambda stream, filetype: Book([Page("one "), Page(None), Page(" "), Page("four")])
+    monkeypatch.setitem(sys.modules, "fitz", fake)
+    assert pdf_text(b"") == "one\nfour"
+
+
+def test_model_is_chosen(tmp_path):
+    model = tmp_path / "onnx"
+    model.mkdir()
+    (model / "model.onnx").write_bytes(b"")
+    assert isinstance(chosen_embedder("/nowhere", str(tmp_path)), OnnxEmbedder)
+    assert isinstance(chosen_embedder("", "/nowhere"), HashingEmbedder)
+
+
+def test_checkpoints_need_a_shared_folder():
+    class Context:
+        master = "spark://somewhere:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(Session)
+
+
 def test_changes(spark):
     stored = spark.createDataFrame([(1, "a", "x", "indexed"), (2, "b", "x", "orphaned"), (3, "c", "x", "indexed"), (4, "d", "x", "indexed")], "id long, path string, hash string, status string")
     scan = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y"), ("e", "z"), ("f", "")], "path string, hash string")
@@ -123,6 +211,20 @@ def test_knn(spark):
     assert [r.distance for r in knn.nearest(v, q, 3, metric="cosine").collect()] == [0.0, 0.0, 1.0]
 
 
+def test_nearest_to_each(spark):
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(size=(60, 8)), np.repeat(rng.normal(size=(1, 8)), 30, axis=0)]).round(3)
+    v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "chunk_id long, embedding array<double>").repartition(4)
+    asked = v.where("chunk_id % 5 = 0").selectExpr("chunk_id as query_id", "embedding as query")
+    got = sorted((r.query_id, r.distance, r.chunk_id) for r in knn.nearest_to_each(v, asked, 4, block=7).collect())
+    want = []
+    for q in range(0, 90, 5):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1)).round(6)
+        want += [(q, d[i], i) for i in np.lexsort((np.arange(90), d))[:4]]
+    assert got == sorted(want)
+    assert knn.nearest_to_each(v.limit(0), asked, 4).count() == 0 == knn.nearest_to_each(v, asked.limit(0), 4).count()
+
+
 def test_presentation(spark):
     rows = spark.createDataFrame([(1, 1, "/a/x.pdf", 0.9, "s" * 120), (1, 2, "/b/y.doc", 0.1, ""), (2, 1, "/c/z", 0.3, "t")], "tier int, pos int, path string, score double, snippet string")
     order = ["tier", "pos"]
