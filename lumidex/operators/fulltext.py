@@ -54,11 +54,12 @@ def query_phrases(query: str) -> list[list[str]]:
     return [p for w in words if (p := fts_tokens_of(w))]
 
 
-def bm25(chunks: DataFrame, query: str, id_col: str = "id", text_col: str = "text") -> DataFrame:
+def bm25(chunks: DataFrame, query: str, id_col: str = "id", text_col: str = "text", repeated: bool = False) -> DataFrame:
     """(chunk_id, rank) of the chunks with any of the query's phrases; the smaller the better.
 
     One pass over the chunks counts each phrase within the row; document frequencies, the number of chunks and their mean length are one row of
-    aggregates. Repeated words count again. Statistics cover all chunks.
+    aggregates. Repeated words count again. Statistics cover all chunks. Where rows may repeat an id (``repeated``) they count once; their counts are shuffled
+    for that and not their texts.
     """
     phrases = query_phrases(query)
     if not phrases:
@@ -72,10 +73,12 @@ def bm25(chunks: DataFrame, query: str, id_col: str = "id", text_col: str = "tex
         counts[f"tf{i}"] = F.when(F.col("_t").contains(phrase[0]), F.regexp_count("_t", F.lit(seek)).cast("double")).otherwise(0.0)
     # The statistics are one row over all chunks; the hits are only sought among chunks that hold a phrase's first token.
     rows = rows.withColumn("len", F.regexp_count("_t", F.lit(TOKEN)).cast("double"))
-    totals = [F.sum(F.when(c > 0, 1.0).otherwise(0.0)).alias(f"df_{k}") for k, c in counts.items()]
-    stats = rows.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avg"), *totals)
+    totals = [F.sum(F.when(F.col(k) > 0, 1.0).otherwise(0.0)).alias(f"df_{k}") for k in counts]
+    once = lambda df: df.dropDuplicates(["chunk_id"]) if repeated else df
+    counted = once(rows.select("chunk_id", "len", *[c.alias(k) for k, c in counts.items()]))
+    stats = counted.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avg"), *totals)
     some = reduce(or_, [F.col("_t").contains(p[0]) for p in phrases])
-    hits = rows.where(some).select("chunk_id", "len", *[c.alias(k) for k, c in counts.items()])
+    hits = once(rows.where(some).select("chunk_id", "len", *[c.alias(k) for k, c in counts.items()]))
     joined = hits.where(" OR ".join(f"{k} > 0" for k in counts)).crossJoin(F.broadcast(stats))  # one row
     score = reduce(add, [_weight(F.col(k), F.col(f"df_{k}")) for k in counts])
     return joined.select("chunk_id", (-score).alias("rank"))

@@ -26,8 +26,12 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks without repeated rows."""
-    return table(spark, folder, "chunks").select("id", "file_id", "chunk_index", "text").distinct()
+    """Chunks without repeated rows; ids tell them apart, so that only the columns that are asked for are shuffled."""
+    return table(spark, folder, "chunks").select("id", "file_id", "chunk_index", "text").dropDuplicates(["id"])
+
+
+def bm25(spark: SparkSession, folder: str, query: str) -> DataFrame:
+    return fulltext.bm25(spread_out(table(spark, folder, "chunks").select("id", "text")), query, repeated=True)
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -110,7 +114,7 @@ HYBRID_QUERY, TEXT_QUERY, K = "heavy terminal", "show the heavy terminal", 40
 
 
 def _hybrid(s: SparkSession, d: str) -> DataFrame:
-    return hybrid_search(files(s, d), chunks(s, d), vectors(s, d), HYBRID_QUERY, query_vector(s, d), K)
+    return hybrid_search(files(s, d), chunks(s, d), vectors(s, d), HYBRID_QUERY, query_vector(s, d), K, ranked=bm25(s, d, HYBRID_QUERY))
 
 
 def _scan(s, d):
@@ -143,7 +147,7 @@ def _cascade(s, d):
 
 def _bm25_rows(s, d):
     where = chunks(s, d).select(F.col("id").alias("chunk_id"), "file_id")
-    return fulltext.bm25(chunks(s, d), QUERY).withColumn("rank", F.round("rank", 6)).join(where, "chunk_id")
+    return bm25(s, d, QUERY).withColumn("rank", F.round("rank", 6)).join(where, "chunk_id")
 
 
 def _relocate(s, d):
@@ -212,7 +216,7 @@ QUERIES = {
         knn.mean_pool(vectors(s, d).join(chunks(s, d).select(F.col("id").alias("chunk_id"), "file_id"), "chunk_id").where("file_id is not null"), "file_id").withColumn("value", F.round("value", 6))
     ),
     "hybrid_search": _hybrid,
-    "text_search": lambda s, d: text_search(files(s, d), chunks(s, d), vectors(s, d), TEXT_QUERY, top_k=K),
+    "text_search": lambda s, d: text_search(files(s, d), chunks(s, d), vectors(s, d), TEXT_QUERY, top_k=K, ranked=bm25(s, d, TEXT_QUERY)),
     "cutoff_and_ranks": lambda s, d: presentation.presented(presentation.cut(_hybrid(s, d), ["tier", "pos"]), ["tier", "pos"]).select("rank", "path", "score", "alpha", "subtitle_alpha", "badge", "subtitle"),
     "relocate_by_hash": _relocate,
     "mark_orphans": lambda s, d: maintenance.mark_orphans(files(s, d), ev.fold_events(_events(s, d)).where("status = 'indexed'")).select("id", "path", "status"),
