@@ -26,6 +26,7 @@ DIGITS = ("0159", "olsg")
 GLYPHS = ("bcfai", "hetol")
 # A letter and the glyph it is read as.
 READ_AS = "ec hb ao tf o0 l1 i1 il s5 g9 b6 B8".split()
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 SOFT = "‐¬\xad"
 MARKS = f"-–{SOFT}"
 PAGE = r"^(?:(?:page|seite|p\.|pág\.|pag\.|s\.|стр\.|str\.|σελ\.|sayfa) ?)?[-–—\[(]? ?\p{Nd}{1,4}(?: ?(?:of|von|de|из|/) ?\p{Nd}{1,4})? ?[-–—\])]?\.?$"
@@ -56,15 +57,15 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def misread_words(counts: DataFrame) -> DataFrame:
-    """(word, form, n): rare words of at least four glyphs and the frequent words they may have been, up to three of a skeleton."""
+    """(word, form, n): rare words of at least four glyphs and the frequent words they may have been."""
     rows = counts.where((F.length("word") >= 4) & ~F.col("word").rlike(r"^\p{N}+$|-")).withColumn("skeleton", skeleton(F.col("word")))
-    order = Window.partitionBy("skeleton").orderBy(F.desc("n"), "word")
-    top = rows.where(F.col("n") >= LEAST_FORM).withColumn("r", F.row_number().over(order)).where("r <= 3")
-    top = top.select("skeleton", F.col("word").alias("form"), F.col("n").alias("n_form"))
+    top = rows.where(F.col("n") >= LEAST_FORM).select("skeleton", F.col("word").alias("form"), F.col("n").alias("n_form"))
     rare = rows.join(top, "skeleton").where((F.col("word") != F.col("form")) & (F.col("n_form") >= LEAST_RATIO * F.col("n")))
     letters = F.zip_with(F.split("word", ""), F.split("form", ""), lambda x, y: (x == y) | F.concat(y, x).isin(READ_AS))
     possible = (F.length("word") != F.length("form")) | F.forall(letters, lambda ok: ok)
-    return rare.where(possible).select("word", "form", F.col("n_form").alias("n"))
+    pairs = cut_lineage(rare.where(possible).select("word", "form", F.col("n_form").alias("n")))
+    # What is a misreading itself is no form.
+    return pairs.join(pairs.select(F.col("word").alias("form")).distinct(), "form", "left_anti").select("word", "form", "n")
 
 
 def _most_frequent(counts: DataFrame, word: str) -> DataFrame:
@@ -113,7 +114,7 @@ def _lines(texts: DataFrame) -> DataFrame:
     """Lines that are not blank of texts that run over several, with what tells text, headers and page numbers apart."""
     lines = texts.where(F.col("text").contains("\n")).select("id", F.posexplode(F.split("text", r"\r?\n")).alias("n", "line"))
     # Repeated rows of an id become one; the windows below need no further shuffle.
-    lines = lines.repartition("id").distinct().withColumn("line", F.regexp_replace("line", r"(?U)^\s+|\s+$", ""))
+    lines = lines.repartition("id").distinct().withColumn("line", F.trim("line", F.lit(BLANKS)))
     blank = Window.partitionBy("id").orderBy("n")
     lines = lines.withColumn("below_blank", F.coalesce(F.lag("line").over(blank) == "", F.lit(False))).where("line <> ''")
     squeezed = F.regexp_replace(F.regexp_replace(F.lower("line"), r"(?U)\s+", " "), r"\p{Nd}+", "#")
