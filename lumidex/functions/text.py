@@ -17,8 +17,15 @@ SPACE = r"\s\x0B\x1C-\x1F\x85\p{Z}"
 def plain_words(text: Column) -> Column:
     """Words of a text: pieces between white space, lower case, only their letters and digits, none empty.
     Null stays null; a text without words gives an empty array."""
-    kept = F.regexp_replace(F.lower(text), rf"[^\p{{L}}\p{{N}}{SPACE}]+", "")
-    return F.array_remove(F.split(kept, rf"[{SPACE}]+"), "")
+    # Texts of ASCII alone, which most are, take classes of single characters: one look at a table a character.
+    lower, plain, blanks = F.lower(text), "abcdefghijklmnopqrstuvwxyz0123456789", r" \t\n\x0B\f\r\x1C\x1D\x1E\x1F"
+    ascii_words = F.split(F.regexp_replace(lower, f"[^{plain}{blanks}]+", ""), f"[{blanks}]+")
+    words = F.split(F.regexp_replace(lower, rf"[^\p{{L}}\p{{N}}{SPACE}]+", ""), rf"[{SPACE}]+")
+    return F.array_remove(F.when(is_ascii(text), ascii_words).otherwise(words), "")
+
+
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
 
 
 def word_hashes(words: Column) -> Column:
