@@ -16,10 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumidex.functions.arrays import running_totals
-from lumidex.functions.text import not_blank, plain_words
+from lumidex.functions.text import is_ascii, not_blank, plain_words
 
 MARK = r"(?:[-–—*•·▪◦‣●○■□☐☑✓>]|\[[ xX]?\]|\(?\p{N}{1,3}[.)]|\(?[a-zA-Z][.)])"
 END = r"[.!?…。！？।؟][\"”’»)」』\]]*+"
+ASCII_END, BEHIND = r"[.!?][\")\]]*+", r"([ \t]*(?:[\r\n]|$)|\s)"  # of texts of ASCII alone
+# Classes of single characters are read from a table; ranges are tried one after another.
+LETTERS, HEX = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdefABCDEF"
 DELIMITERS = {"pipe": "|", "tab": "\t", "semicolon": ";", "comma": ","}
 SEPARATORS = ("/", "»", ">", "\u203a", "→", "::", "~")
 LEAST_LINES = 3
@@ -127,7 +130,7 @@ def _statistics(rows: DataFrame, common_words: list[str]) -> DataFrame:
     t = F.col("text")
     zero = lambda when, value: F.when(when, value).otherwise(0)
     # Characters by kind: what one pass takes out the next one need not read.
-    rows = rows.withColumn("rest", F.regexp_replace(t, "[a-zA-Z]+", "")).withColumn("n_ascii", F.length(t) - F.length("rest"))
+    rows = rows.withColumn("rest", F.regexp_replace(t, f"[{LETTERS}]+", "")).withColumn("n_ascii", F.length(t) - F.length("rest"))
     rows = rows.withColumn("rest", F.regexp_replace("rest", r"[\p{L}\p{M}]+", "")).withColumn("n_letters", F.length(t) - F.length("rest"))
     rows = rows.withColumn("solid", F.regexp_replace("rest", r"\s+", "")).withColumn("n_solid", F.greatest(F.length(t) - F.length("rest") + F.length("solid"), F.lit(1)))
     rows = rows.withColumn("rest", F.regexp_replace("solid", r"\p{N}+", "")).withColumn("n_digits", F.length("solid") - F.length("rest"))
@@ -146,13 +149,13 @@ def _statistics(rows: DataFrame, common_words: list[str]) -> DataFrame:
         (F.col("n_symbols") / F.col("n_solid")).alias("symbol_ratio"),
         (F.col("n_ascii") / F.col("n_solid")).alias("ascii_ratio"),
         (_without(t, "[aeiouAEIOU]+") / F.greatest(F.col("n_ascii"), F.lit(1))).alias("vowel_ratio"),
-        (_without(t, r"[a-zA-Z0-9+/=]{30,}+") / F.col("n_solid")).alias("long_token_ratio"),
-        F.regexp_extract_all(t, F.lit(END + r"([ \t]*(?:[\r\n]|$)|\s)"), F.lit(1)).alias("ends"),
+        (_without(t, f"[{LETTERS}0123456789+/=]{{30,}}+") / F.col("n_solid")).alias("long_token_ratio"),
+        F.when(is_ascii(t), F.regexp_extract_all(t, F.lit(ASCII_END + BEHIND), F.lit(1))).otherwise(F.regexp_extract_all(t, F.lit(END + BEHIND), F.lit(1))).alias("ends"),
         F.when(t.contains("。") | t.contains("！") | t.contains("？"), _count(t, END + r"(?=\s|$)|[。！？]")).alias("ideographic"),
         F.when(n_words > 0, F.size(F.filter("words", lambda w: w.isin(common_words))) / n_words).otherwise(0.0).alias("common_word_share"),
         F.when(n_words > 0, F.size(F.array_distinct("words")) / n_words).otherwise(1.0).alias("distinct_word_share"),
         F.when(n_lines > 0, F.size(F.array_distinct("lines")) / n_lines).otherwise(1.0).alias("distinct_line_share"),
-        (zero(t.contains("(cid:"), _count(t, r"\(cid:\p{N}+\)")) + _count(t, r"[0-9a-fA-F]{2} [0-9a-fA-F]{2} [0-9a-fA-F]{2} [0-9a-fA-F]{2} (?<=\b.{12})")).alias("cid_codes"),
+        (zero(t.contains("(cid:"), _count(t, r"\(cid:\p{N}+\)")) + _count(t, " ".join([f"[{HEX}][{HEX}]"] * 4) + r" (?<=\b.{12})")).alias("cid_codes"),
         _count(t, r"\S+").alias("n_tokens"),
         _count(t, item).alias("inline_marks"),
         zero(reduce(or_, [t.contains(f" {x} ") for x in SEPARATORS]), _count(t, rf"\S +(?:{'|'.join(SEPARATORS)})(?= +\S)")).alias("inline_separators"),
