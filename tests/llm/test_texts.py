@@ -52,6 +52,14 @@ def test_sentences_edge(spark):
     assert split_sentences(spark.createDataFrame([(1, long)], "id long, text string"), "id", "text").count() == 3000
 
 
+def test_long_quotations_items_and_many_sentences(spark):
+    said = "“" + "It was late. " * 60 + "We left.” said Ann."
+    item = "1. " + "word " * 200 + "end.\n2. Next"
+    got = sentences(spark, said, item, 'He said "' + "One. Two. " * 80 + 'Three." and left. Then')
+    assert got[0] == [said] and got[1] == [item.split("\n")[0], "2. Next"]
+    assert [x[:7] for x in got[2]] == ['He said', "Then"]
+
+
 WORDS = {
     "fr": "L'élève a réparé la façade à côté du théâtre. Déjà, le gérant a présenté le modèle précédent.",
     "de": "Die Prüferin überarbeitete das Gemüse gemäß der Vorschrift. Schließlich löschte der Käufer die Größenangaben.",
