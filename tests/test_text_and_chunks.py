@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumidex.functions import text as T
+from lumidex.functions.arrays import running_totals
+from lumidex.functions.text import plain_words
 from lumidex.operators import fulltext
 from lumidex.operators.chunking import chunk
 from lumidex.operators.filename import all_words_matches, any_word_matches, substring_matches
@@ -94,3 +96,18 @@ def test_filename_tiers(spark):
     assert all_words_matches(files, "tax", 9).count() == 0
     assert [(r.id, r.score) for r in any_word_matches(files, "tax return", 2).collect()] == [(1, 0.9), (2, 0.9), (3, 0.85)]
     assert any_word_matches(files, "the a", 2).count() == 0
+
+
+def test_running_totals(spark):
+    rows = [(n, [(i * 7) % 11 for i in range(n)]) for n in (0, 1, 2, 63, 64, 65, 128, 1000)]
+    got = spark.createDataFrame(rows, "n int, x array<int>").select("n", running_totals(F.col("x")).alias("t")).collect()
+    for r in got:
+        values = dict(rows)[r.n]
+        assert r.t == [sum(values[:i]) for i in range(r.n)]
+
+
+def test_words_of_ascii_texts_are_those_of_others(spark):
+    texts = ["The C++ file, v1.2\tis_here\x0b(so) far!\x1cEND", "a  - b\r\nC3PO", "...", " x "]
+    df = spark.createDataFrame([(t, t + " \u00e9") for t in texts], "a string, b string")
+    for r in df.select(plain_words(F.col("a")).alias("a"), plain_words(F.col("b")).alias("b")).collect():
+        assert r.b == [*r.a, "\u00e9"]
