@@ -140,6 +140,37 @@ def test_recall_of_many_vectors(spark):
     assert len(got) == 500 and hits / 5000 >= 0.95
 
 
+def test_recall_where_the_sample_holds_few_of_a_cluster(spark):
+    """30,000 vectors in clusters of about 30 and a sample that holds about half a vector of a cluster, as 16,384 do of a collection of a million."""
+    rng = np.random.default_rng(8)
+    labels = rng.integers(0, 1000, 30_000)
+    x = rng.normal(size=(1000, 384))[labels] + 0.5 * rng.normal(size=384) + 0.42 * rng.normal(size=(30_000, 384))
+    x = (np.rint(x / np.linalg.norm(x, axis=1, keepdims=True) * 2048) / 2048).astype(np.float32)
+    table = pa.table({"id": np.arange(len(x)), "v": pa.array(list(x))})
+    found = similar_vectors.similar_vectors(spark.createDataFrame(table).repartition(8), "id", "v", sample=512, cell_rows=250)
+    got = found.where("id % 100 = 0").groupBy("id").agg(F.collect_set("neighbour").alias("n")).collect()
+    u = similar_vectors.unit(x)
+    hits = 0
+    for r in got:
+        s = np.round((u @ u[r.id]).astype(np.float64), 6)
+        s[r.id] = -9
+        hits += len(set(np.lexsort((np.arange(len(s)), -s))[:10].tolist()) & set(r.n))
+    assert len(got) == 300 and hits / 3000 >= 0.95
+
+
+def test_copies_beyond_any_shortlist(spark):
+    """A vector in 400 copies of which the sample holds none or one: the smallest ids are its neighbours, and those of its copies."""
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(3000, 16)), 3).astype(np.float32)
+    ids = rng.permutation(3000)
+    x[ids % 7 == 3] = x[0]
+    table = pa.table({"id": ids, "v": pa.array(list(x))})
+    found = similar_vectors.similar_vectors(spark.createDataFrame(table), "id", "v", dim=16, sample=4, cell_rows=10_000)
+    copies = np.sort(ids[(x == x[0]).all(axis=1)]).tolist()
+    got = {r.id: sorted(r.n) for r in found.groupBy("id").agg(F.collect_set("neighbour").alias("n")).collect() if r.id in set(copies)}
+    assert got == {i: [j for j in copies if j != i][:10] for i in copies}
+
+
 def test_large_cells_are_searched_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(similar_vectors, "BLOCK", 100)
     monkeypatch.setattr(similar_vectors, "HEAVY", 10**6)
