@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from lumidex.llm import near_duplicates, similar_vectors
 from lumidex.llm.leakage import edit_distance, leaked_items, leaked_windows, walk_keys
 from lumidex.llm.packing import best_two_fit, pack_documents, packing_report
+from lumidex.session import cut_lineage
 
 
 def words_of(text):
@@ -79,6 +81,20 @@ def test_hot_patterns_are_compared_in_blocks(spark, monkeypatch):
     assert sorted((r.a, r.b) for r in near_duplicates.similar_pairs(docs, "id", "text").collect()) == want
 
 
+def test_no_shuffle_files_stay_behind_a_cut(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before = shuffled()
+    cut = cut_lineage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not {x for x in shuffled() - before if x.endswith(".data")} and len(cut.collect()) == 7
+
+
 def test_all_pairs_of_a_large_class(spark):
     rows = [(i, "one and the same text of copies" if i % 2 else f"One and the{' ' * (i % 7 + 1)}same text, of copies!") for i in range(1100)]
     rows += [(5000 + i, "one and the same text of copies again") for i in range(3)]
